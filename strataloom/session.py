@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,48 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage: rows are written to the shared checkpoint folder, so a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: rows go to a table in the shared checkpoint folder and are read from there.
+
+    A lost executor costs no recomputation. Unlike a checkpointed plan, whose size estimate multiplies over rounds of
+    joins, the table has its true size, by which the optimizer decides what may be broadcast.
+    """
+    spark = df.sparkSession
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``durable`` that no later plan reads."""
+    for df in tables:
+        for name in df.inputFiles()[:1]:
+            path = _hadoop_path(df.sparkSession, name).getParent()
+            if path.getParent().getName().startswith(_PREFIX):
+                path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_PREFIX = "strataloom-tables-"
+
+
+def _hadoop_path(spark: SparkSession, name: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+
+def _tables(spark: SparkSession) -> str:
+    """Folder of this session's tables; it is deleted when Python ends."""
+    path = f"{checkpoint_dir(spark)}/{_PREFIX}{spark.sparkContext.applicationId}"
+    if path not in _made:
+        _made.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+_made: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = _hadoop_path(spark, path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
