@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,22 +27,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.session import durable
+
 RUN = 40
 WIDTH = 20
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 # Placeholders of the free-width template and the unit signs that follow a number.
-NUMBER, NAME, UNIT = "0", "", ""
+NUMBER, NAME, UNIT = "0", "\ue000", "\ue001"
+UNITS = r"mpa|kpa|mm|cm|km|kg|°c|℃|bar|min|m|h|s|t|n|kn|%|‰|毫米|厘米|米|分钟|小时|兆帕|千帕|吨|公斤"
 _SLOT = re.compile(
-    r"(?P<name>(?<![a-z0-9])[a-z]{2,}[-‐‑ ]?\d+(?![a-z0-9]))|(?P<number>\d+(?:[.,]\d+)*)(?:\s?(?P<unit>(?:mpa|kpa|mm|cm|km|kg|°c|℃|bar|min|m|h|s|t|n|kn|%|‰|毫米|厘米|米|分钟|小时|兆帕|千帕|吨|公斤)(?![a-z])))?"
+    r"(?P<name>(?<![a-z0-9])[a-z]{2,}[-‐‑ ]?\d+(?![a-z0-9]))|(?P<number>\d+(?:[.,]\d+)*)(?:\s?(?P<unit>(?:" + UNITS + r")(?![a-z])))?"
 )
 
 
 def stream(text: str) -> str:
     """Letters and digits of a text, width folded and case folded."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    return "".join(filter(str.isalnum, text.casefold()))
+    return "".join(filter(str.isalnum, unicodedata.normalize("NFKC", text).casefold()))
 
 
 def free_template(text: str) -> tuple[str, list[str]]:
@@ -63,55 +65,98 @@ def free_template(text: str) -> tuple[str, list[str]]:
     return "".join(out), slots
 
 
-def window_hashes(template: str, width: int) -> np.ndarray:
-    """A 64-bit hash of every window of ``width`` characters, by differences of a polynomial prefix."""
-    code = np.frombuffer(template.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    if len(code) < width:
-        return np.empty(0, np.uint64)
+def _rolled(code: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit polynomial hash of every window, built from windows of doubling widths."""
     with np.errstate(over="ignore"):
         code = (code + np.uint64(0x51ED27)) * np.uint64(0xD6E8FEB86659FD93)
         code ^= code >> np.uint64(29)
-        out = np.zeros(len(code) - width + 1, np.uint64)
-        for i in range(width):
-            out = out * np.uint64(_BASE) + code[i : i + len(out)]
-        out ^= out >> np.uint64(31)
+        out, have, base = None, 0, pow(_BASE, 1, 1 << 64)
+        part, size = code, 1
+        while size <= width:
+            if width & size:
+                out = part if out is None else out[: len(part) - have] * np.uint64(pow(base, size, 1 << 64)) + part[have:]
+                have += size
+            part = part[: len(part) - size] * np.uint64(pow(base, size, 1 << 64)) + part[size:]
+            size *= 2
+        out = out ^ (out >> np.uint64(31))
         out *= np.uint64(0x94D049BB133111EB)
         return out ^ (out >> np.uint64(32))
 
 
-def kept(hashes: np.ndarray, stretch: int) -> np.ndarray:
-    """The distinct least hashes of every stretch of that many successive windows (all of them in a shorter text)."""
-    if len(hashes) <= stretch:
-        return np.unique(hashes.min(keepdims=True)) if len(hashes) else hashes
-    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, stretch).min(axis=1))
+def _slid(values: np.ndarray, width: int, least: bool) -> np.ndarray:
+    """Minimum (maximum) of every stretch of ``width`` values, by doubling."""
+    pick, out, size = (np.minimum if least else np.maximum), values, 1
+    while size * 2 <= width:
+        out = pick(out[: len(out) - size], out[size:])
+        size *= 2
+    return pick(out[: len(out) - (width - size)], out[width - size :]) if width > size else out
+
+
+@lru_cache(maxsize=1)
+def _alnum() -> np.ndarray:
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
+_NUMBER_UNIT = re.compile(r"\d+(?:[.,]\d+)*\s?(?:" + UNITS + r")(?![a-z])")
+_NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+_NAMES = re.compile(r"(?<![a-z0-9])[a-z]{2,}[-‐‑ ]?\d+(?![a-z0-9])")
 
 
-def _same_width(text: str) -> str:
-    return re.sub(r"\d", "0", stream(text))
+def _streams(texts: list[str], gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two templates of all texts as code points, with ``gap`` zeros before each text."""
+    joined = unicodedata.normalize("NFKC", "\0".join(["", *(t.replace("\0", " ") for t in texts)])).casefold()
+    out = []
+    for text in (joined, _NUMBER.sub(NUMBER, _NUMBER_UNIT.sub(NUMBER + UNIT, _NAMES.sub(NAME, joined)))):
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        code = code[_alnum()[code] | (code == 0) | ((code >= 0xE000) & (code < 0xE003))]
+        code = np.where((code >= 48) & (code <= 57), 48, code).astype(np.uint64)
+        out.append(np.repeat(code, np.where(code == 0, gap, 1)))
+    return out[0], out[1]
+
+
+def kept_windows(texts: list[str], every: bool, width: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, family, hash) of the windows of the templates; all of them, or of each stretch the one of least hash.
+
+    A stretch has ``reach - width + 1`` successive windows; a text with fewer windows keeps its least one. Family 0 is
+    the same-width template, 1 the free-width one.
+    """
+    stretch = reach - width + 1
+    gap, at, family, found = width + stretch, [], [], []
+    for k, code in enumerate(_streams(texts, gap)):
+        starts = np.flatnonzero(code == 0)[::gap]
+        code = np.concatenate([code, np.zeros(gap, np.uint64)])
+        hashes = _rolled(code, width)
+        inside = np.concatenate([[0], np.cumsum(code == 0)])
+        valid = inside[width : width + len(hashes)] == inside[: len(hashes)]
+        keep = valid
+        if not every:
+            hashes = np.where(valid, hashes, np.uint64(_MASK))
+            low = _slid(hashes, stretch, least=True)
+            keep = valid & (_slid(np.concatenate([np.zeros(stretch - 1, np.uint64), low, np.zeros(stretch - 1, np.uint64)]), stretch, least=False) == hashes)
+        place = np.flatnonzero(keep)
+        at.append(np.searchsorted(starts, place, side="right") - 1)
+        family.append(np.full(len(place), k, np.int32))
+        found.append(hashes[place].view(np.int64))
+    return np.concatenate(at), np.concatenate(family), np.concatenate(found)
 
 
 def _windows(keys: list[str], every: bool, width: int, reach: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            at, found = [], []
-            for i, text in enumerate(batch["text"]):
-                hashes = [window_hashes(t, width) for t in (_same_width(text), "|" + free_template(text)[0])]
-                for h in hashes:
-                    h = np.unique(h) if every else kept(h, reach - width + 1)
-                    found.append(h.view(np.int64))
-                    at.append(np.full(len(h), i))
-            rows = np.concatenate(at) if at else np.empty(0, int)
-            out = batch[keys].iloc[rows].reset_index(drop=True)
-            out["h"] = np.concatenate(found) if found else np.empty(0, np.int64)
-            yield out
+            for first in range(0, len(batch), 512):
+                part = batch.iloc[first : first + 512]
+                at, family, found = kept_windows(list(part["text"]), every, width, reach)
+                out = part[keys].iloc[at].reset_index(drop=True)
+                out["family"], out["h"] = family, found
+                yield out.drop_duplicates()
 
     return run
 
 
 def windows(df: DataFrame, keys: list[str], every: bool = False, width: int = WIDTH, reach: int = RUN) -> DataFrame:
-    """``keys, h``: hashes of template windows of ``df`` (``keys, text``); all of them or those kept by least hash."""
+    """``keys, family, h``: hashes of template windows of ``df`` (``keys, text``); all or those kept by least hash."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    return df.select(*keys, "text").where("text is not null").mapInPandas(_windows(keys, every, width, reach), f"{fields}, h bigint")
+    return df.select(*keys, "text").where("text is not null").mapInPandas(_windows(keys, every, width, reach), f"{fields}, family int, h bigint")
 
 
 def longest_run(a: str, b: str, least: int) -> int:
@@ -144,11 +189,13 @@ def consistent(a: str, b: str) -> bool:
 
 def _verdicts(least: int):
     @F.pandas_udf(T.StructType([T.StructField("run", T.IntegerType()), T.StructField("kind", T.StringType())]))
-    def verdict(text: pd.Series, item: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b in zip(text, item, strict=True):
-            run = longest_run(stream(b), stream(a), least)
-            rows.append((run, "verbatim" if run else "reworded values" if consistent(b, a) else None))
+    def verdict(text: pd.Series, item: pd.Series, exact: pd.Series, loose: pd.Series) -> pd.DataFrame:
+        rows, items = [], {}
+        for a, b, same, free in zip(text, item, exact, loose, strict=True):
+            if b not in items:
+                items[b] = stream(b)
+            run = longest_run(items[b], stream(a), least) if same else 0
+            rows.append((run, "verbatim" if run else "reworded values" if free and consistent(b, a) else None))
         return pd.DataFrame(rows, columns=["run", "kind"])
 
     return verdict
@@ -164,9 +211,11 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = RUN, width: int =
     broadcast only while its size stays under the session's threshold; candidates alone fetch the texts again.
     """
     items = items.select("item_id", "text").where("text is not null").distinct()
-    wanted = windows(items, ["item_id"], every=True, width=width, reach=run).distinct()
-    hit = windows(documents, ["doc_id"], width=width, reach=run).join(wanted, "h").select("doc_id", "item_id").distinct()
+    wanted = durable(windows(items, ["item_id"], every=True, width=width, reach=run).distinct())
+    met = windows(documents, ["doc_id"], width=width, reach=run).join(wanted, ["family", "h"])
+    hit = met.groupBy("doc_id", "item_id").agg(F.max(F.col("family") == 0).alias("exact"), F.max(F.col("family") == 1).alias("loose"))
+    hit = durable(hit)
     texts = documents.select("doc_id", "text").where("text is not null").join(hit.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
     both = hit.join(texts, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
-    judged = both.select("doc_id", "item_id", _verdicts(run)("text", "item").alias("v")).where("v.kind is not null")
+    judged = both.select("doc_id", "item_id", _verdicts(run)("text", "item", "exact", "loose").alias("v")).where("v.kind is not null")
     return judged.groupBy("doc_id", "item_id").agg(F.max("v.run").alias("run"), F.max("v.kind").alias("kind"))
