@@ -37,7 +37,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 NUMBER, NAME, UNIT = "0", "\ue000", "\ue001"
 UNITS = r"mpa|kpa|mm|cm|km|kg|°c|℃|bar|min|m|h|s|t|n|kn|%|‰|毫米|厘米|米|分钟|小时|兆帕|千帕|吨|公斤"
 _SLOT = re.compile(
-    r"(?P<name>(?<![a-z0-9])[a-z]{2,}[-‐‑ ]?\d+(?![a-z0-9]))|(?P<number>\d+(?:[.,]\d+)*)(?:\s?(?P<unit>(?:" + UNITS + r")(?![a-z])))?"
+    r"(?P<name>(?<![a-z0-9])[a-z]{2,}[-‐‑]?\d+(?![a-z0-9]))|(?P<number>\d+(?:[.,]\d+)*)(?:\s?(?P<unit>(?:" + UNITS + r")(?![a-z])))?"
 )
 
 
@@ -99,7 +99,7 @@ def _alnum() -> np.ndarray:
 
 _NUMBER_UNIT = re.compile(r"\d+(?:[.,]\d+)*\s?(?:" + UNITS + r")(?![a-z])")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
-_NAMES = re.compile(r"(?<![a-z0-9])[a-z]{2,}[-‐‑ ]?\d+(?![a-z0-9])")
+_NAMES = re.compile(r"(?<![a-z0-9])[a-z]{2,}[-‐‑]?\d+(?![a-z0-9])")
 
 
 def _streams(texts: list[str], gap: int) -> tuple[np.ndarray, np.ndarray]:

@@ -251,7 +251,7 @@ def label(mark: str, before: str, sep: str, after: str, share: float | None, see
     if sep == "end":
         return 1
     if mark.startswith("q"):
-        return 0 if _GOES_ON.match(after) and not (mark[1] in STRONG and k == "U") else 1 if sep == "line" or k in "U#" else None
+        return 0 if _GOES_ON.match(after) and not (mark[1] in STRONG and k == "U") else 1 if sep == "line" or k in "U#" or mark[1] in STRONG else None
     if mark in STRONG:
         return 0 if k == "P" and after[:1] in ",，、;；" else 1
     if mark == "…":
@@ -265,7 +265,9 @@ def label(mark: str, before: str, sep: str, after: str, share: float | None, see
             return 0
         if sep == "line":
             return 0 if k == "l" else 1
-        return 1 if share is not None and seen >= SEEN and share >= OFTEN and k in "U#HTA" else None
+        if share is not None and seen >= SEEN and share >= OFTEN and k in "U#HTA":
+            return 1
+        return 1 if k in "U#" and len(before) >= 4 and before.isalpha() else None
     last = before[-1:]
     if not _THAI.match(last) and not last == ".":
         return 0
@@ -352,7 +354,8 @@ def spans(text: str, weights: np.ndarray, known: dict | None = None) -> list[tup
                     continue
                 context = (mark, before, sep, after)
                 if context not in known:
-                    known[context] = bool(weights[_index(features(*context))].sum() > 0)
+                    score = float(weights[_index(features(*context))].sum())
+                    known[context] = score > 0 or score == 0 and mark[-1] in STRONG
                 if known[context]:
                     cuts.append((here, place))
                     here = place
