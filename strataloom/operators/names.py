@@ -40,12 +40,16 @@ def contained_names(texts: DataFrame, names: DataFrame, key: str, text: str, nam
     return joined_names(texts, names, key, text, name)
 
 
+def _starts(text: str, width: int):
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (width - 1)), lambda i: F.substring(F.col(text), i, F.lit(width))))
+
+
 def joined_names(texts: DataFrame, names: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """The way without a size limit: places of texts and names meet on up to three first characters."""
     found = None
     for width in (1, 2, 3):
         part = names.where(F.length(name) == width if width < 3 else F.length(name) >= 3).withColumn("_k", F.substring(name, 1, width))
-        places = texts.where(F.length(text) >= width).select(key, text, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (width - 1)), lambda i, w=width: F.substring(F.col(text), i, w)))).alias("_k"))
+        places = texts.where(F.length(text) >= width).select(key, text, F.explode(_starts(text, width)).alias("_k"))
         hit = places.join(part, "_k").where(F.col(text).contains(F.col(name))).select(key, name)
         found = hit if found is None else found.union(hit)
     return found.distinct()
