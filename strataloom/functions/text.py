@@ -49,7 +49,7 @@ def clause_number(text: Column) -> Column:
 
 def number_path(number: Column) -> Column:
     """A dotted number as an array of ints, which sorts naturally and compares by prefix."""
-    return F.transform(F.split(number, r"\."), lambda part: part.cast("int"))
+    return F.transform(F.split(number, r"\."), lambda part: part.try_cast("bigint"))
 
 
 def limit_parts(text: Column) -> Column:

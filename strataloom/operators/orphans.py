@@ -18,6 +18,11 @@ from strataloom.session import durable
 SALTS = 16
 
 
+def month(at: Column) -> Column:
+    """The month of a time in UTC, whatever the time zone of the session."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM")
+
+
 def references(df: DataFrame, tbl: str, field: str, key: Column, group: Column | None = None) -> DataFrame:
     """Rows ``tbl, id, field, grp, target_key, seen_at, period`` of one reference field.
 
@@ -29,7 +34,7 @@ def references(df: DataFrame, tbl: str, field: str, key: Column, group: Column |
         df.select("id", "created_at", "ingested_at", grp.alias("grp"), key.alias("target_key"))
         .where(F.col("target_key").isNotNull() & F.col("id").isNotNull())
         .groupBy("id", "grp", "target_key")
-        .agg(F.min("ingested_at").alias("seen_at"), F.date_format(F.min("created_at"), "yyyy-MM").alias("period"))
+        .agg(F.min("ingested_at").alias("seen_at"), month(F.min("created_at")).alias("period"))
         .withColumns({"tbl": F.lit(tbl), "field": F.lit(field)})
     )
 

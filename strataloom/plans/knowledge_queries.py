@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.operators.components import components
+from strataloom.operators.ordered import last_before, running_sum
 from strataloom.operators.records import change_report, latest, merged
 from strataloom.operators.spans import nearest, sections, spans_of
 from strataloom.session import durable, table
@@ -59,8 +60,9 @@ def s1(spark, sf_dir):
 @_query("s2_reading_order", f"""select document_id, id, row_number() over (partition by document_id order by locator.physical_page nulls last, ord nulls last, id) as place from {_LAST['source_unit']}""")
 def s2(spark, sf_dir):
     """Every unit with its place in its document by page, order and id."""
-    w = Window.partitionBy("document_id").orderBy(F.col("locator.physical_page").asc_nulls_last(), F.col("ord").asc_nulls_last(), "id")
-    return _latest(spark, sf_dir, "source_unit").select("document_id", "id", F.row_number().over(w).cast("bigint").alias("place"))
+    units = _latest(spark, sf_dir, "source_unit").select("document_id", "id", F.coalesce("locator.physical_page", F.lit(2**30)).alias("page"), F.coalesce("ord", F.lit(2**30)).alias("ord"))
+    placed = running_sum(units, "document_id", "page", [F.col("page"), F.col("ord"), F.col("id")], F.lit(1).cast("bigint"), "place")
+    return placed.select("document_id", "id", "place")
 
 
 @_query("s5_snapshot", f"""select document_id, count(*) as units, count(distinct revision_id) as revisions, count(distinct revision_id) <= 1 as pinned from {_LAST['source_unit']} group by document_id""")
@@ -223,7 +225,7 @@ select change, count(*) as n from (select case when old.id is null then 'created
 def i3(spark, sf_dir):
     """Changes of evidence between a cut-off and the last state: created, updated, unchanged, deleted."""
     rows = table(spark, sf_dir, "evidence").where("id is not null").select("id", F.md5(F.coalesce("text", F.lit(""))).alias("content"), "ingested_at", "deleted_at")
-    return change_report(rows, F.lit("2024-07-01 00:00:00").cast("timestamp")).groupBy("change").agg(F.count("*").alias("n"))
+    return change_report(rows, F.lit("2024-07-01T00:00:00Z").cast("timestamp")).groupBy("change").agg(F.count("*").alias("n"))
 
 
 @_query("v7_bound_members", f"""with mk as (select distinct evidence_id, member_key from {_MEM}),
@@ -277,11 +279,11 @@ def a9(spark, sf_dir):
     return df.groupBy("document_id", "origin", "state").agg(F.count("*").alias("units"), F.countDistinct("page").alias("pages"))
 
 
-@_query("a13_ratios", f"""select type, count(*) as n, avg(len(entities)) as mean_entities, avg(case when len(source_anchors) > 0 then 1.0 else 0.0 end) as anchored from {_LAST['statements']} group by type""")
+@_query("a13_ratios", f"""select type, count(*) as n, round(avg(len(entities)), 6) as mean_entities, round(avg(case when len(source_anchors) > 0 then 1.0 else 0.0 end), 6) as anchored from {_LAST['statements']} group by type""")
 def a13(spark, sf_dir):
     """Mean number of entities and share of anchored statements per type; null lists are left out of the first mean."""
     anchored = F.when(F.coalesce(F.size("source_anchors"), F.lit(-1)) > 0, 1.0).otherwise(0.0)
-    return _latest(spark, sf_dir, "statements").groupBy("type").agg(F.count("*").alias("n"), F.avg(F.when(F.col("entities").isNotNull(), F.size("entities"))).alias("mean_entities"), F.avg(anchored).alias("anchored"))
+    return _latest(spark, sf_dir, "statements").groupBy("type").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("entities").isNotNull(), F.size("entities"))), 6).alias("mean_entities"), F.round(F.avg(anchored), 6).alias("anchored"))
 
 
 @_query("a14_median_height", f"""select document_id, median(locator.bbox[4] - locator.bbox[2]) as height from {_LAST['source_unit']} where kind = 'paragraph' and locator.bbox is not null group by document_id""")
@@ -304,19 +306,22 @@ def w1(spark, sf_dir):
 @_query("w3_heading_above", f"""select id, document_id, last_value(case when kind = 'heading' then id end ignore nulls) over (partition by document_id order by locator.physical_page nulls first, coalesce(ord, -1), id rows between unbounded preceding and 1 preceding) as heading_id from {_LAST['source_unit']}""")
 def w3(spark, sf_dir):
     """The heading above every unit in reading order."""
-    w = Window.partitionBy("document_id").orderBy(F.col("locator.physical_page").asc_nulls_first(), F.coalesce("ord", F.lit(-1)), "id").rowsBetween(Window.unboundedPreceding, -1)
-    return _latest(spark, sf_dir, "source_unit").select("id", "document_id", F.last(F.when(F.col("kind") == "heading", F.col("id")), ignorenulls=True).over(w).alias("heading_id"))
+    units = _latest(spark, sf_dir, "source_unit").select("id", "document_id", "kind", F.col("locator.physical_page").alias("page"), F.coalesce("ord", F.lit(-1)).alias("ord"))
+    heading = F.when(F.col("kind") == "heading", F.col("id"))
+    return last_before(units, "document_id", "page", [F.col("ord"), F.col("id")], heading, "heading_id").select("id", "document_id", "heading_id")
 
 
 @_query("w5_groups", f"""select document_id, grp, count(*) as units, min(place) as first_place from (select *, sum(case when kind in ('heading', 'clause') or page_gap > 1 then 1 else 0 end) over (partition by document_id order by place) as grp from
 (select document_id, kind, place, page - lag(page) over (partition by document_id order by place) as page_gap from (select document_id, kind, locator.physical_page as page, row_number() over (partition by document_id order by locator.physical_page nulls first, coalesce(ord, -1), id) as place from {_LAST['source_unit']}))) group by document_id, grp""")
 def w5(spark, sf_dir):
     """Runs of units that start at a heading, a clause or after a page gap."""
-    order = [F.col("locator.physical_page").asc_nulls_first(), F.coalesce("ord", F.lit(-1)), F.col("id")]
-    df = _latest(spark, sf_dir, "source_unit").select("document_id", "kind", F.col("locator.physical_page").alias("page"), F.row_number().over(Window.partitionBy("document_id").orderBy(*order)).cast("bigint").alias("place"))
-    w = Window.partitionBy("document_id").orderBy("place")
-    starts = F.when(F.col("kind").isin("heading", "clause") | (F.col("page") - F.lag("page").over(w) > 1), 1).otherwise(0)
-    return df.withColumn("start", starts).withColumn("grp", F.sum("start").over(w)).groupBy("document_id", "grp").agg(F.count("*").alias("units"), F.min("place").alias("first_place"))
+    units = _latest(spark, sf_dir, "source_unit").select("document_id", "id", "kind", F.col("locator.physical_page").alias("page"), F.coalesce("ord", F.lit(-1)).alias("ord"))
+    order = [F.col("page").asc_nulls_first(), F.col("ord"), F.col("id")]
+    units = running_sum(units, "document_id", "page", order, F.lit(1).cast("bigint"), "place")
+    before = last_before(units, "document_id", "page", [F.col("ord"), F.col("id")], F.struct("page"), "previous")
+    starts = F.when(F.col("kind").isin("heading", "clause") | (F.col("page") - F.col("previous.page") > 1), 1).otherwise(0).cast("bigint")
+    grouped = running_sum(before, "document_id", "page", order, starts, "grp")
+    return grouped.groupBy("document_id", "grp").agg(F.count("*").alias("units"), F.min("place").alias("first_place"))
 
 
 @_query("w10_most_specific", f"""with n as (select distinct id, label from {_ENT} where label is not null and label <> '') select a.id, a.label from n a where not exists (select 1 from n b where b.id = a.id and b.label <> a.label and contains(b.label, a.label))""")

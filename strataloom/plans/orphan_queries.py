@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.operators.orphans import ForeignKey, missing_members, orphan_cascade, orphan_references, references, targets
+from strataloom.operators.orphans import ForeignKey, missing_members, month, orphan_cascade, orphan_references, references, targets
 from strataloom.session import table
 
 
@@ -42,7 +42,7 @@ def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
         ForeignKey("statements", "evidence", _support_refs(statements).select("id", "target_key")),
     ]
     months = evidence.select(F.lit("evidence").alias("tbl"), "id", "created_at").union(statements.select(F.lit("statements").alias("tbl"), "id", "created_at"))
-    months = months.groupBy("tbl", "id").agg(F.date_format(F.min("created_at"), "yyyy-MM").alias("period"))
+    months = months.groupBy("tbl", "id").agg(month(F.min("created_at")).alias("period"))
     return orphan_cascade(ids, links).join(months, ["tbl", "id"]).groupBy("tbl", "period", "kind").agg(F.count("*").alias("n"))
 
 

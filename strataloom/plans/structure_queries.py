@@ -36,10 +36,10 @@ _BOX = f"(select id, document_id, locator.physical_page as page, kind, locator.b
 _AREA = "greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0.0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))"
 
 
-@_query("j14_overlaps", f"select a.id as id_a, b.id as id_b, {_AREA} as share from {_BOX} a join {_BOX} b on a.document_id = b.document_id and a.page = b.page and a.id < b.id where a.x1 > a.x0 and a.y1 > a.y0 and b.x1 > b.x0 and b.y1 > b.y0 and {_AREA} > 0.2")
+@_query("j14_overlaps", f"select a.id as id_a, b.id as id_b, round({_AREA}, 6) as share from {_BOX} a join {_BOX} b on a.document_id = b.document_id and a.page = b.page and a.id < b.id where a.x1 > a.x0 and a.y1 > a.y0 and b.x1 > b.x0 and b.y1 > b.y0 and {_AREA} > 0.2")
 def j14(spark, sf_dir):
     """Boxes of a page that overlap by more than a fifth of the smaller one."""
-    return overlaps(boxes(_latest(spark, sf_dir, "source_unit")), 0.2)
+    return overlaps(boxes(_latest(spark, sf_dir, "source_unit")), 0.2).withColumn("share", F.round("share", 6))
 
 
 @_query("s14_lines", f"""select document_id, page, line, count(*) as boxes, min(x0) as x0 from (select *, sum(fresh) over (partition by document_id, page order by y0, y1, x0, id) as line from (select *, case when max(y1) over (partition by document_id, page order by y0, y1, x0, id rows between unbounded preceding and 1 preceding) is null
@@ -74,7 +74,7 @@ def j11(spark, sf_dir):
     """Evidence of before and after a date that says the same, one to one."""
     e = table(spark, sf_dir, "evidence").where("text is not null and id is not null")
     e = e.groupBy("id", "kind", F.md5(compact(F.col("text"))).alias("sig")).agg(F.min("ingested_at").alias("seen"))
-    cut = F.lit("2024-07-01 00:00:00").cast("timestamp")
+    cut = F.lit("2024-07-01T00:00:00Z").cast("timestamp")
     return aligned(e.where(F.col("seen") < cut), e.where(F.col("seen") >= cut), ["kind", "sig"])
 
 

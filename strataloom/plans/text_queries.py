@@ -68,16 +68,16 @@ p as (select d.id, q.token, len(toks) as len, cast((length(body) - length(replac
 f as (select token, count(*) as df from p group by token)"""
 
 
-@_query("r3_search_all", _BM25 + "select id, 2 as hits, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score from p join f using (token), n group by id having count(*) = 2")
+@_query("r3_search_all", _BM25 + "select id, 2 as hits, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) as score from p join f using (token), n group by id having count(*) = 2")
 def r3(spark, sf_dir):
     """Evidence with both of two phrases, ranked by BM25."""
-    return search(_evidence(spark, sf_dir), _GROUPS, "all")
+    return search(_evidence(spark, sf_dir), _GROUPS, "all").withColumn("score", F.round("score", 6))
 
 
-@_query("r4_search_any", _BM25 + "select id, cast(count(*) as int) as hits, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score from p join f using (token), n group by id")
+@_query("r4_search_any", _BM25 + "select id, cast(count(*) as int) as hits, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) as score from p join f using (token), n group by id")
 def r4(spark, sf_dir):
     """Evidence with either of two phrases, ranked by BM25."""
-    return search(_evidence(spark, sf_dir), _GROUPS, "any")
+    return search(_evidence(spark, sf_dir), _GROUPS, "any").withColumn("score", F.round("score", 6))
 
 
 @_query("l2_search_page", _BM25 + "select id, hits, round(score, 6) as score from (select id, cast(count(*) as int) as hits, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score from p join f using (token), n group by id) order by hits desc, round(score, 6) desc, id limit 20")
@@ -184,4 +184,4 @@ def x24(spark, sf_dir):
 def f1(spark, sf_dir):
     """Free attributes of units read by path."""
     index = F.get_json_object("attributes", "$.paragraph_index")
-    return latest(table(spark, sf_dir, "source_unit")).groupBy("kind").agg(F.count("attributes").alias("with_attributes"), F.count(index).alias("indexed"), F.max(index.cast("int")).alias("greatest"))
+    return latest(table(spark, sf_dir, "source_unit")).groupBy("kind").agg(F.count("attributes").alias("with_attributes"), F.count(index).alias("indexed"), F.max(index.try_cast("int")).alias("greatest"))

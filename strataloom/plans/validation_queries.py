@@ -86,7 +86,7 @@ def j13(spark, sf_dir):
     """Ranges of clause numbers below each prefix, with the numbers missing in between."""
     no = F.regexp_extract("text", r"^\s*([0-9]+(?:[.][0-9]+)+)\s", 1)
     n = _latest(spark, sf_dir, "source_unit").where("kind in ('heading', 'clause') and text is not null").select("document_id", no.alias("no")).where("no <> ''")
-    n = n.select("document_id", F.regexp_replace("no", "[.][0-9]+$", "").alias("prefix"), F.regexp_extract("no", "([0-9]+)$", 1).cast("int").alias("last"))
+    n = n.select("document_id", F.regexp_replace("no", "[.][0-9]+$", "").alias("prefix"), F.regexp_extract("no", "([0-9]+)$", 1).try_cast("int").alias("last"))
     ends = n.groupBy("document_id", "prefix").agg(F.min("last").alias("first_no"), F.max("last").alias("last_no"), F.countDistinct("last").alias("present"))
     return ends.withColumn("gaps", F.col("last_no") - F.col("first_no") + 1 - F.col("present"))
 
