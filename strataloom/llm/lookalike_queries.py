@@ -32,5 +32,14 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.union(by_label.distinct())
 
 
-QUERIES = {"p1_found": found}
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one form of every unit, evidence and label, with the number of spellings that look like it."""
+    texts, entity, classes = _tables(spark, sf_dir)
+    labels = entity.select(F.lit("label").alias("tbl"), "text").union(classes.select(F.lit("label"), "text"))
+    every = texts.select("tbl", "text").union(labels)
+    looks = canonical(every, ["tbl"], [every.select("text")])
+    return looks.groupBy("tbl", F.md5("canonical").alias("look")).agg(F.countDistinct("raw").alias("spellings"), F.count("*").alias("rows"), F.max("canonical").alias("form"))
+
+
+QUERIES = {"p1_found": found, "p1_forms": forms}
 SQL: dict[str, str] = {}
