@@ -97,6 +97,9 @@ _SIDES = re.compile(r"左侧|右侧|左边|右边|左|右|links|rechts|left|righ
 # Chinese numerals.
 _HAN_DIGIT = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
 _HAN_TEN = {"十": 10, "百": 100, "千": 1000}
+# Marks and letters that are no unit behind a Chinese numeral, and units that a one-character numeral makes another word with.
+_HAN_NO_UNIT = ('"', "″", "in", "C", "F")
+_HAN_PAIRS = {"度": "一两", "分": "零〇一二两三四五六七八九十百千", "开": "零〇一二两三四五六七八九十百千"}
 
 _SUPER = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺", "0123456789-+")
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
@@ -154,7 +157,9 @@ def _patterns() -> dict[str, re.Pattern]:
     point = rf"(?:\d{{1,3}}(?:,\d{{3}})+(?![\d])(?:\.\d+)?|\d{{1,3}}(?: \d{{3}})+(?!\d)(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+){exp}"
     comma = rf"(?:\d{{1,3}}(?:[. ]\d{{3}})+(?!\d)(?:,\d+)?|\d+(?:,\d+)?|,\d+){exp}"
     head = r"(?P<pre>零下|负|minus |moins |минус |マイナス)?(?P<sign>[±+]|\+/-|[-−–](?=[\d.,]))?\s?"
-    han = r"(?P<han>[零〇一二两三四五六七八九十百千]+(?:点[零〇一二三四五六七八九]+)?)"
+    one, part = "[零〇一二两三四五六七八九]", "(?:点[零〇一二三四五六七八九]+)?"
+    below = rf"(?:{one}?千(?:零?{one}百)?(?:零?{one}?十)?(?:零?{one})?|{one}?百(?:零?{one}?十)?(?:零?{one})?|{one}?十{one}?|{one}+)"
+    han = rf"(?<![第零〇一二两三四五六七八九十百千万亿])(?P<han>(?:{below}万零?)?{below}{part}(?=\s?(?:{unit}))|{below}万(?=\s?(?:{unit}))|[零〇一二两三四五六七八九十百千]+{part})"
     out = {"unit": re.compile(unit)}
     for key, number in (("point", point), ("comma", comma)):
         out[key] = re.compile(rf"(?P<per>百分之|千分之)?{head}(?<![\d.,])(?P<num>{number})(?:\s?(?P<unit>{unit}))?")
@@ -192,6 +197,9 @@ def _number(text: str, style: str) -> Decimal:
 
 def _han_number(text: str) -> Decimal:
     whole, _, part = text.partition("点")
+    many, mark, whole = whole.rpartition("万")
+    if mark:
+        return _han_number(many) * 10000 + _han_number(f"{whole or '零'}{'点' if part else ''}{part}")
     if not any(c in _HAN_TEN for c in whole):
         total = int("".join(str(_HAN_DIGIT[c]) for c in whole))
     else:
@@ -205,6 +213,13 @@ def _han_number(text: str) -> Decimal:
     return Decimal(f"{total}.{''.join(str(_HAN_DIGIT[c]) for c in part)}" if part else total)
 
 
+def _han_unit(han: str, unit: str, after: str) -> bool:
+    """Whether a unit behind a Chinese numeral is one, and not part of another word (一度, 十分, 三分之一, 千帕)."""
+    if unit in _HAN_NO_UNIT or han in _HAN_PAIRS.get(unit, "") or unit == "分" and after[:1] == "之":
+        return False
+    return units()[unit][0] == "time" or han not in ("百", "千")
+
+
 def read_quantities(text: str) -> list[Quantity]:
     """Every quantity of a text in order of place.
 
@@ -225,8 +240,10 @@ def read_quantities(text: str) -> list[Quantity]:
         for m in p[style].finditer(said):
             got.append([m, m["unit"], _number(m["num"], style)])
         for m in p["han"].finditer(said):
-            if m["per"] or m["unit"] and m["unit"] != "分" and units()[m["unit"]][0] == "time":
+            if m["per"] or m["unit"] and _han_unit(m["han"], m["unit"], said[m.end() :]):
                 got.append([m, m["unit"], _han_number(m["han"])])
+            elif not m["unit"] and (joint := p["range"].match(said, m.end())) and (end := p["han"].match(said, joint.end())) and end["unit"] and _han_unit(end["han"], end["unit"], said[end.end() :]):
+                got.append([m, end["unit"], _han_number(m["han"])])
         got.sort(key=lambda g: g[0].start())
         named = p["header"].search(said)
         if named and not any(u for _, u, _ in got):
