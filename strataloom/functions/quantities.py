@@ -99,7 +99,7 @@ _HAN_DIGIT = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四":
 _HAN_TEN = {"十": 10, "百": 100, "千": 1000}
 # Marks and letters that are no unit behind a Chinese numeral, and units that a one-character numeral makes another word with.
 _HAN_NO_UNIT = ('"', "″", "in", "C", "F")
-_HAN_PAIRS = {"度": "一两", "分": "零〇一二两三四五六七八九十百千", "开": "零〇一二两三四五六七八九十百千"}
+_HAN_PAIRS = {"度": "一两", "分": "零〇一二两三四五六七八九十百千半", "开": "零〇一二两三四五六七八九十百千半"}
 
 _SUPER = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁻⁺", "0123456789-+")
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
@@ -159,7 +159,7 @@ def _patterns() -> dict[str, re.Pattern]:
     head = r"(?P<pre>零下|负|minus |moins |минус |マイナス)?(?P<sign>[±+]|\+/-|[-−–](?=[\d.,]))?\s?"
     one, part = "[零〇一二两三四五六七八九]", "(?:点[零〇一二三四五六七八九]+)?"
     below = rf"(?:{one}?千(?:零?{one}百)?(?:零?{one}?十)?(?:零?{one})?|{one}?百(?:零?{one}?十)?(?:零?{one})?|{one}?十{one}?|{one}+)"
-    han = rf"(?<![第零〇一二两三四五六七八九十百千万亿])(?P<han>(?:{below}万零?)?{below}{part}(?=\s?(?:{unit}))|{below}万(?=\s?(?:{unit}))|[零〇一二两三四五六七八九十百千]+{part})"
+    han = rf"(?<![第零〇一二两三四五六七八九十百千万亿])(?P<han>(?:{below}万零?)?{below}{part}(?=\s?(?:{unit}))|{below}万(?=\s?(?:{unit}))|(?<![个前后上下大多])半(?=\s?(?:{unit}))|[零〇一二两三四五六七八九十百千]+{part})"
     out = {"unit": re.compile(unit)}
     for key, number in (("point", point), ("comma", comma)):
         out[key] = re.compile(rf"(?P<per>百分之|千分之)?{head}(?<![\d.,])(?P<num>{number})(?:\s?(?P<unit>{unit}))?")
@@ -196,6 +196,8 @@ def _number(text: str, style: str) -> Decimal:
 
 
 def _han_number(text: str) -> Decimal:
+    if text == "半":
+        return Decimal("0.5")
     whole, _, part = text.partition("点")
     many, mark, whole = whole.rpartition("万")
     if mark:

@@ -48,7 +48,7 @@ def read_texts(df: DataFrame) -> DataFrame:
 
     Repeated rows count once; null and empty texts give nothing.
     """
-    texts = df.select("id", "text").where("text is not null and text rlike '[0-9０-９零〇一二两三四五六七八九十百千]'").distinct()
+    texts = df.select("id", "text").where("text is not null and text rlike '[0-9０-９零〇一二两三四五六七八九十百千半]'").distinct()
     return texts.mapInPandas(_read, _READ)
 
 

@@ -31,7 +31,7 @@ def test_read(text, wanted):
         ("吊装质量：十磅", [("mass", 4536)]), ("填料用量：二十二克", [("mass", 22)]), ("压降速率为七十帕/小时", [("pressure_rate", 70)]),
         ("压力为四十千帕", [("pressure", 40000)]), ("压力五千帕", [("pressure", 5000)]), ("一万二千零五帕", [("pressure", 12005)]), ("三万帕", [("pressure", 30000)]), ("三百千克", [("mass", 300000)]), ("间隙三至五毫米", [("length", 3000), ("length", 5000)]),
         ("一点五毫米", [("length", 1500)]), ("零下三十度", [("temperature", -30000)]), ("十五分后停运", [("time", 900)]), ("二百七十三开", [("temperature", -150)]), ("约二三十天", [("time", 2592000)]),
-        ("一度停运", []), ("十分重要", []), ("三分之一", []), ("三十分之一", []), ("单位：千帕", []), ("数值以千牛计", []), ("从一开始", []), ("66.1千牛", [("force", 66100)]), ('标为"十"', []), ("第三十米处", []), ("二十米/秒", []), ("三平方米", []), ("五十立方米", []), ("四千次", []),
+        ("一度停运", []), ("十分重要", []), ("三分之一", []), ("三十分之一", []), ("单位：千帕", []), ("数值以千牛计", []), ("从一开始", []), ("66.1千牛", [("force", 66100)]), ('标为"十"', []), ("第三十米处", []), ("二十米/秒", []), ("三平方米", []), ("五十立方米", []), ("四千次", []), ("应不大于半小时", [("time", 1800)]), ("半个小时", [("time", 1800)]), ("一个半小时", []), ("阀门半开", []),
     ],
 )
 def test_read_chinese_numerals(text, wanted):
