@@ -9,6 +9,7 @@ from strataloom.functions.text import LIMIT_WORDS, compact
 from strataloom.operators.assembly import aligned, assembled, compared
 from strataloom.operators.hierarchy import build_hierarchy, class_links, reachable_pairs
 from strataloom.operators.layout import boxes, lines, overlaps
+from strataloom.operators.limits import limits_and_facts
 from strataloom.operators.records import latest
 from strataloom.operators.spans import sections
 from strataloom.plans.knowledge_queries import _ENT, _LAST, _MEM, _SUP, _entities, _members, _supports
@@ -95,18 +96,11 @@ select id, tag, parameter, op, case when facts is null then 'unknown' when facts
 when case op when 'le' then actual <= value when 'lt' then actual < value when 'ge' then actual >= value when 'gt' then actual > value when 'eq' then actual = value end then 'satisfied' else 'not_satisfied' end as status from r left join g using (tag, parameter)""")
 def x11(spark, sf_dir):
     """Limits of statements against the single measured value of the same tag and parameter."""
-    texts = _latest(spark, sf_dir, "statements").select("id", "text").where("text is not null")
-    dims = F.create_map(*(F.lit(x) for u, (d, _) in _UNITS.items() for x in (u, d)))
-    factors = F.create_map(*(F.lit(x) for u, (_, f) in _UNITS.items() for x in (u, float(f))))
-    codes = F.create_map(*(F.lit(x) for pair in LIMIT_WORDS.items() for x in pair))
-
-    def parts(pattern: str, names: list[str]) -> DataFrame:
-        found = F.arrays_zip(*(F.regexp_extract_all("text", F.lit(pattern), F.lit(i + 1)).alias(n) for i, n in enumerate(names)))
-        df = texts.select("id", F.explode(found).alias("p")).select("id", "p.*")
-        return df.withColumns({"dimension": dims[F.col("unit")], "value": F.round(F.col("v").cast("double") * factors[F.col("unit")], 6)})
-
-    rules = parts(_RULE, ["tag", "parameter", "w", "v", "unit"]).withColumn("op", codes[F.col("w")])
-    facts = parts(_FACT, ["tag", "parameter", "v", "unit"])
+    read = durable(limits_and_facts(_latest(spark, sf_dir, "statements")))
+    rules = read.where("op is not null and tag is not null").select("id", "tag", "parameter", "op", "dimension", F.col("common").alias("value"))
+    # A measured value whose unit is not known still is a fact: it stands beside the others and equals no dimension.
+    other = F.concat(F.lit("unit "), F.coalesce("unit", F.lit("")))
+    facts = read.where("op is null").select("tag", "parameter", F.coalesce("dimension", other).alias("dimension"), F.coalesce("common", "value").alias("value"))
     return compared(rules, facts, ["tag", "parameter"]).select("id", "tag", "parameter", "op", "status")
 
 
