@@ -1,4 +1,4 @@
-"""Text columns that stay in the JVM: normal forms, search tokens, clause numbers, limits."""
+"""Text columns that stay in the JVM: normal forms, search tokens, clause numbers, wording of limits."""
 
 from __future__ import annotations
 
@@ -52,16 +52,6 @@ def number_path(number: Column) -> Column:
     return F.transform(F.split(number, r"\."), lambda part: part.try_cast("bigint"))
 
 
-def limit_parts(text: Column) -> Column:
-    """``struct<op, value, unit>`` of the first limit stated in Chinese wording, null without one."""
-    words = "|".join(sorted(LIMIT_WORDS, key=len, reverse=True))
-    pattern = rf"({words})\s*([0-9]+(?:[.][0-9]+)?)\s*([A-Za-z/°℃%]+)"
-    plain = F.translate(text, _WIDE, _NARROW)
-    codes = F.create_map(*(F.lit(x) for pair in LIMIT_WORDS.items() for x in pair))
-    word = F.regexp_extract(plain, pattern, 1)
-    return F.when(word != "", F.struct(codes[word].alias("op"), F.regexp_extract(plain, pattern, 2).cast("double").alias("value"), F.regexp_extract(plain, pattern, 3).alias("unit")))
-
-
 def fingerprint(*columns: Column) -> Column:
     """SHA-256 of the values in order, nulls written as a sign of their own."""
     return F.sha2(F.concat_ws("\u0001", *(F.coalesce(c.cast("string"), F.lit("\u0002")) for c in columns)), 256)

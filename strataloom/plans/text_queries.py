@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataloom.functions.text import LIMIT_WORDS, clause_number, fingerprint, limit_parts, normalized, number_path, search_tokens
+from strataloom.functions.text import LIMIT_WORDS, clause_number, fingerprint, normalized, number_path, search_tokens
+from strataloom.operators.limits import limits_and_facts
 from strataloom.operators.names import contained_names
 from strataloom.operators.records import latest
 from strataloom.operators.references import clause_references, resolve_clauses
@@ -114,9 +115,8 @@ _CASE = "case " + " ".join(f"when w = '{k}' then '{v}'" for k, v in LIMIT_WORDS.
 
 @_query("x21_limits", f"select id, {_CASE} as op, cast(v as double) as value, unit from (select id, regexp_extract({_plain('text')}, '{_LIMIT}', 1) as w, regexp_extract({_plain('text')}, '{_LIMIT}', 2) as v, regexp_extract({_plain('text')}, '{_LIMIT}', 3) as unit from {_LAST['statements']}) where w <> ''")
 def x21(spark, sf_dir):
-    """Limits that statements name in Chinese wording."""
-    df = latest(table(spark, sf_dir, "statements")).select("id", limit_parts(F.col("text")).alias("l")).where("l is not null")
-    return df.select("id", "l.op", "l.value", "l.unit")
+    """All limits that statements name in Chinese wording, with the usual spelling of their unit."""
+    return limits_and_facts(latest(table(spark, sf_dir, "statements"))).where("op is not null").select("id", "op", "value", "unit")
 
 
 @_query("x18_fingerprints", f"select id, sha256(concat_ws(chr(1), coalesce(document_id, chr(2)), coalesce(type, chr(2)), coalesce(text, chr(2)))) as print from {_LAST['statements']}")
