@@ -9,7 +9,7 @@ from strataloom.functions.text import LIMIT_WORDS, clause_number, fingerprint, n
 from strataloom.operators.limits import limits_and_facts
 from strataloom.operators.names import contained_names
 from strataloom.operators.records import latest
-from strataloom.operators.references import clause_references, resolve_clauses
+from strataloom.operators.references import numbered, references, resolve_references
 from strataloom.operators.retrieval import inverted_index, page, search
 from strataloom.plans.knowledge_queries import _ENT, _LAST, _entities
 from strataloom.session import table
@@ -135,8 +135,8 @@ def i1(spark, sf_dir):
 
 @_query("x13_references", f"select id, unnest(regexp_extract_all({_plain('text')}, '([0-9]+(?:[.][0-9]+)+)\\s*条', 1)) as number from {_LAST['evidence']} where text is not null")
 def x13(spark, sf_dir):
-    """Clause numbers that evidence refers to, with repeats."""
-    return clause_references(_evidence(spark, sf_dir)).select("id", "number")
+    """Clauses, sections, tables and figures that evidence refers to, with repeats."""
+    return references(_evidence(spark, sf_dir)).select("id", "kind", "number", "end_number", "external")
 
 
 @_query("r6_resolved", f"""with r as (select distinct id, document_id, number from (select id, document_id, unnest(regexp_extract_all({_plain('text')}, '([0-9]+(?:[.][0-9]+)+)\\s*条', 1)) as number from {_LAST['evidence']} where text is not null)),
@@ -146,8 +146,7 @@ kids as (select r.id, r.number, count(h.target_id) as n from r join h on h.docum
 select own.id, own.number, case when own.n = 1 then 'resolved' when own.n > 1 then 'ambiguous' when coalesce(kids.n, 0) > 0 then 'children' else 'missing' end as status, case when own.n = 1 then own.target_id end as target_id from own left join kids using (id, number)""")
 def r6(spark, sf_dir):
     """References of evidence resolved to numbered units of their document."""
-    units = latest(table(spark, sf_dir, "source_unit")).where("kind in ('heading', 'clause')")
-    return resolve_clauses(clause_references(_evidence(spark, sf_dir)), units)
+    return resolve_references(references(_evidence(spark, sf_dir)), numbered(latest(table(spark, sf_dir, "source_unit"))))
 
 
 @_query("j6_names_in_text", f"""select s.id, c.label from (select id, text from {_LAST['statements']} where text is not null) s join (select distinct label from domain_classes where label is not null and label <> '') c on contains(s.text, c.label)""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataloom.functions.text import fingerprint
 from strataloom.functions.truth import kleene_all, state
 from strataloom.operators.records import latest
-from strataloom.operators.references import clause_references
+from strataloom.operators.references import numbered, references, resolve_references
 from strataloom.plans.knowledge_queries import _ENT, _LAST, _MEM, _SUP, _entities, _members, _supports
 from strataloom.session import table
 
@@ -178,11 +178,11 @@ def x23(spark, sf_dir):
 h as (select document_id, id as unit_id, {_NO} as number from {_LAST['source_unit']} where text is not null), m as (select distinct evidence_id, source_id from {_MEM})
 select distinct r.id as source, m.evidence_id as target, r.number from r join h on h.document_id = r.document_id and h.number = r.number join m on m.source_id = h.unit_id where m.evidence_id <> r.id""")
 def r7(spark, sf_dir):
-    """Reference edges from evidence to the evidence that holds the unit of the number."""
-    refs = clause_references(_latest(spark, sf_dir, "evidence")).distinct()
-    h = _latest(spark, sf_dir, "source_unit").where("text is not null").select("document_id", F.col("id").alias("source_id"), F.regexp_extract("text", r"^\s*([0-9]+(?:[.][0-9]+)+)\s", 1).alias("number")).where("number <> ''")
+    """Reference edges from evidence to the evidence that holds the units a reference resolves to."""
+    found = resolve_references(references(_latest(spark, sf_dir, "evidence")), numbered(_latest(spark, sf_dir, "source_unit"))).where("status = 'resolved'")
     m = _members(spark, sf_dir).select("evidence_id", "source_id").distinct()
-    return refs.join(h, ["document_id", "number"]).join(m, "source_id").where("evidence_id <> id").select(F.col("id").alias("source"), F.col("evidence_id").alias("target"), "number").distinct()
+    edges = found.select("id", "kind", "number", "end_number", F.explode("target_ids").alias("source_id")).join(m, "source_id").where("evidence_id <> id")
+    return edges.select(F.col("id").alias("source"), F.col("evidence_id").alias("target"), "kind", "number", "end_number").distinct()
 
 
 @_query("r12_class_coverage", f"""select c.id as class_id, case when max(s.evidence_id) is not null then 'evidence_found' when max(e.id) is not null then 'pending_read' else 'graph_not_found' end as coverage from (select distinct id from domain_classes) c left join {_ENT} e on e.class_id = c.id
