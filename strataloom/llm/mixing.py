@@ -23,7 +23,7 @@ from strataloom.session import durable
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern that belongs to the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK = 4096
+BLOCK, LEAST_BLOCK = 4096, 8
 _TINY = 1e-9
 
 
@@ -37,7 +37,11 @@ def _encoding(path: str):
 
 
 def token_counts(df: DataFrame, keys: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
-    """``keys, tokens``: number of tokens of ``text`` under a public byte-level vocabulary; null texts have 0."""
+    """``keys, tokens``: number of tokens of ``text`` under a public byte-level vocabulary; null texts have 0.
+
+    ``tokenizer`` is the path of the vocabulary. Every executor reads it from there, so it must lie at the same place
+    on all machines (or on a shared one).
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoding = _encoding(tokenizer)
@@ -104,8 +108,11 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, block:
     ``sized`` has ``doc_id, source, tokens``; ``targets`` has ``source, target_share, max_repeats``. ``total`` is the
     wanted number of tokens; by default, and at most, the largest number that all shares allow under the caps. Texts
     without source, without tokens, or of a source without target take no part; repeated rows count once. If a source
-    with a positive share has no texts, no total is possible and a ValueError says which.
+    with a positive share has no texts, no total is possible and a ValueError says which. ``block`` is 8 or more: four
+    blocks or more must leave less than one block open, or the rounds would not end.
     """
+    if block < LEAST_BLOCK:
+        raise ValueError(f"block must be {LEAST_BLOCK} or more")
     sized = sized.where("source is not null and tokens > 0").select("doc_id", "source", "tokens").distinct()
     sums = sized.groupBy("source").agg(F.sum("tokens").alias("have"), F.count("*").alias("n"))
     plan = targets.where("source is not null and target_share > 0").distinct().join(sums, "source", "left").toPandas()
