@@ -24,6 +24,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern that belongs to the byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK, LEAST_BLOCK = 4096, 8
+#: Most partitions that blocks are spread over.
+MAX_PARTITIONS = 4096
 _TINY = 1e-9
 
 
@@ -134,14 +136,16 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, block:
     certain = state.where("p = 0").select("doc_id", "source", "tokens", F.col("sure").cast("int").alias("repeats"))
     schema = "doc_id " + sized.schema["doc_id"].dataType.simpleString() + ", source string, tokens bigint, sure double, p double, blocks bigint, block bigint"
     state = state.where("p > 0").select("doc_id", "source", "tokens", "sure", "p", "blocks", "block")
-    done, most_blocks = certain, int(plan["blocks"].max())
+    done, most_blocks, all_blocks = certain, int(plan["blocks"].max()), int(plan["blocks"].sum())
     while True:
         last = most_blocks <= 1
-        state = durable(state.groupBy("source", "block").applyInPandas(_fly(last, seed), schema))
+        # A block is little data but long work, so blocks are spread by their number and not by their size.
+        spread = state.repartition(min(all_blocks, MAX_PARTITIONS), "source", "block")
+        state = durable(spread.groupBy("source", "block").applyInPandas(_fly(last, seed), schema))
         done = done.union(state.where("p = 0 or p = 1").select("doc_id", "source", "tokens", (F.col("sure") + F.col("p")).cast("int")))
         if last:
             return done.where("repeats > 0")
-        most_blocks = -(-most_blocks // (block // 4))
+        most_blocks, all_blocks = -(-most_blocks // (block // 4)), -(-all_blocks // (block // 4)) + len(plan)
         state = state.where("p > 0 and p < 1").withColumn("block", F.floor(F.col("block") / (block // 4)))
 
 
