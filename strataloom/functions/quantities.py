@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
+from collections.abc import Sequence
 from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
 from typing import NamedTuple
@@ -106,13 +108,17 @@ _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180
 
 
 class Quantity(NamedTuple):
-    """One value of a text; unit and dimension are None where the text names none."""
+    """One value of a text; unit and dimension are None where the text names none.
+
+    ``named`` tells that the unit does not stand with the value but is named by another sentence.
+    """
 
     dimension: str | None
     unit: str | None
     value: Decimal
     phrase: str
     start: int
+    named: bool = False
 
 
 @lru_cache(maxsize=1)
@@ -174,18 +180,46 @@ def _patterns() -> dict[str, re.Pattern]:
     return out
 
 
-_FUNCTION_WORDS = {
-    "comma": re.compile(r"[А-яЁё]{2}|\b(?:Für|für|Die|Der|Das|gilt|Messung|Angaben|bis|rechts|Schrauben|Pour|On|relève|une|valeur|Valeurs|gauche|selon|jeu|pression|pente|masse|effort|durée|[Tt]empérature|Neigung|Prüfdruck|Spaltmaß|Haltezeit|Masse|Federkraft|Austrittstemperatur|Druckabfall|Traganteil|le|la|les|und|ist|est)\b"),
-    "point": re.compile(r"[一-鿿぀-ヿऀ-ॿ฀-๿؀-ۿ]|\b(?:the|The|of|shall|At|at|Measured|read|was|between|Keep|Values|and|from)\b"),
-}
+# Common words of languages that write a decimal comma (German, French) and of English, which writes a point.
+_COMMA_WORDS = frozenset(
+    "der die das den dem ein eine einer einem und oder für bei von mit nicht auf im zu zum zur ist sind wird werden bis nach laut über unter zwischen gilt"
+    " le la les du de une et ou est sont pour dans sur par avec selon entre au aux à".split()
+)
+_POINT_WORDS = frozenset("the of and or shall must is are was were at from between with by not in to for be on it this that".split())
+_POINT_SCRIPTS = re.compile(r"[一-鿿぀-ヿऀ-ॿ฀-๿؀-ۿ]")
+_CYRILLIC = re.compile(r"[А-яЁё]{2}")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Number of hashed words of a style model, and what a word, an accent and a separator of the text itself weigh.
+STYLE_SIZE = 1 << 16
+_WORD, _OWN = 1.0, 6.0
+#: Separators that tell the decimal mark: one or two digits behind a comma (a point), or a mark of each kind.
+COMMA_MARK = r"\d,\d{1,2}(?!\d)|\d,\d{4,}|\d[.]\d{3},\d"
+POINT_MARK = r"\d[.]\d{1,2}(?![\d.])|\d[.]\d{4,}(?![\d.])|\d,\d{3}[.]\d"
+_COMMA_MARK, _POINT_MARK = re.compile(COMMA_MARK), re.compile(POINT_MARK)
 
 
-def decimal_style(text: str) -> str:
-    """``comma`` for German, French and Russian statements, ``point`` for the others, by script and function words."""
-    comma, point = (len(_FUNCTION_WORDS[k].findall(text)) for k in ("comma", "point"))
-    if comma == point:
-        return "comma" if re.search(r"\d,\d{1,2}(?!\d)", text) and not re.search(r"\d\.\d", text) else "point"
-    return "comma" if comma > point else "point"
+def style_bucket(word: str) -> int:
+    """Place of a lower-case word in a style model (CRC-32, as the engine's own function gives it)."""
+    return zlib.crc32(word.encode()) % STYLE_SIZE
+
+
+def decimal_style(text: str, weights: Sequence[float] | None = None) -> str:
+    """``comma`` or ``point``: the decimal mark of the language of a text.
+
+    Scripts decide first (Cyrillic writes a comma; Chinese, Japanese, Hindi, Thai and Arabic a point). Texts in Latin
+    letters are decided by the separators that tell it themselves, by common words, and by ``weights``, the log odds
+    of words beside a comma learned from a corpus (``operators/units.py``). Without any sign it is ``point``.
+    """
+    if _POINT_SCRIPTS.search(text):
+        return "point"
+    if _CYRILLIC.search(text):
+        return "comma"
+    score = _OWN * (bool(_COMMA_MARK.search(text)) - bool(_POINT_MARK.search(text)))
+    for word in {w.lower() for w in _LETTERS.findall(text)}:
+        score += _WORD * ((word in _COMMA_WORDS or not word.isascii()) - (word in _POINT_WORDS))
+        if weights is not None:
+            score += float(weights[style_bucket(word)])
+    return "comma" if score > 0 else "point"
 
 
 def _number(text: str, style: str) -> Decimal:
@@ -222,18 +256,26 @@ def _han_unit(han: str, unit: str, after: str) -> bool:
     return units()[unit][0] == "time" or han not in ("百", "千")
 
 
-def read_quantities(text: str) -> list[Quantity]:
+_TAGS = re.compile("\u0001+|[A-Z]{1,8}[-‐‑]\\d+")
+# Words that may follow a value without counting something by it.
+_AFTER = re.compile(r"\s?(?:[,，、;；.。!！?？)）:：]|$|(?:on|at|in|to|and|or|und|oder|bis|et|ou|à|au|и|или|до|на|в)\s|(?:справа|слева|rechts|links|right|left)|[和与及至到でと])")
+
+
+def read_quantities(text: str, weights: Sequence[float] | None = None) -> list[Quantity]:
     """Every quantity of a text in order of place.
 
-    A unit named by a sentence without values of its own holds for the unitless values of the sentence after it. In a
-    range, the first value takes the unit of the second. Values at a side word (left, right) without any unit come
-    out with unit None. Clause, standard and tag numbers, areas, volumes, speeds, frequencies and counts do not come out.
+    A unit named by a sentence without values of its own holds for the values without unit after it, until another
+    sentence names one; values before the first such sentence take its unit (``named`` is true for all of these). In a
+    range, the first value takes the unit of the second. Other values without any unit come out with unit None if no
+    counted thing follows and words stand before them. Clause, standard and tag numbers, areas, volumes, speeds,
+    frequencies and counts do not come out. ``weights`` is the model of ``decimal_style``.
     """
     text, p = plain(text), _patterns()
-    style = decimal_style(text)
+    style = decimal_style(text, weights)
     text = p["mask"].sub(lambda m: "\u0001" * len(m[0]), text)
     out: list[Quantity] = []
-    header = None
+    header, first_header = None, None
+    open_: list[int] = []
     for sentence in p["sentence"].finditer(text):
         said, base = sentence[0], sentence.start()
         if not said.strip():
@@ -247,13 +289,14 @@ def read_quantities(text: str) -> list[Quantity]:
             elif not m["unit"] and (joint := p["range"].match(said, m.end())) and (end := p["han"].match(said, joint.end())) and end["unit"] and _han_unit(end["han"], end["unit"], said[end.end() :]):
                 got.append([m, end["unit"], _han_number(m["han"])])
         got.sort(key=lambda g: g[0].start())
-        named = p["header"].search(said)
-        if named and not any(u for _, u, _ in got):
-            header = named["unit"]
-            got = [g for g in got if g[0].start() > named.end()]
+        naming = p["header"].search(said)
+        if naming and not any(u for _, u, _ in got):
+            header = naming["unit"]
+            first_header = first_header or header
+            got = [g for g in got if g[0].start() > naming.end()]
             if not got:
                 continue
-        sides, used = bool(_SIDES.search(said)), False
+        sides = bool(_SIDES.search(said))
         for i, (m, unit, value) in enumerate(got):
             per = m["per"]
             if per:
@@ -270,18 +313,20 @@ def read_quantities(text: str) -> list[Quantity]:
             else:
                 minus = bool(m["pre"]) or ("sign" in m.groupdict() and m["sign"] in ("-", "−", "–"))
                 sign = -1 if minus else 1
-            after = said[m.end() :]
-            before = said[max(0, m.start() - 40) : m.start()].rpartition("\u0001")[2]
-            phrase = re.sub(r"[^\w]|\d", "", _SIDES.sub("", before))[:16].lower()
-            if unit is None and (header or sides):
-                bare = re.match(r"\s?(?:[,，、;；.。)）]|$|on the|à |であ|and the|und |et |и |справа|rechts)", after)
-                prior = said[: m.start()].rstrip()
-                if bare and (_SIDES.search(said[max(0, m.start() - 14) : m.end() + 16]) if sides else True) and not prior.endswith("\u0001"):
-                    unit, used = header, True
-                    out.append(Quantity(units()[unit][0] if unit else None, unit, sign * value, phrase, base + m.start()))
-                continue
+            phrase = re.sub(r"[^\w]|\d", "", _SIDES.sub("", _TAGS.split(said[: m.start()])[-1])).lower()
             if unit is not None:
                 out.append(Quantity(units()[unit][0], unit, sign * value, phrase, base + m.start()))
-        if header and (used or got):
-            header = None if used else header
+                continue
+            beside = not sides or _SIDES.search(said[max(0, m.start() - 14) : m.end() + 16])
+            first = m.start("sign") if m.groupdict().get("sign") else m.start("num" if "num" in m.groupdict() else "han")
+            if first and re.match(r"[A-Za-zÀ-ɏͰ-ӿ^]", said[first - 1]):
+                continue
+            ahead_of = said[: m.start()].strip()
+            if _AFTER.match(said[m.end() :]) and beside and ahead_of and (header or phrase) and not ahead_of.endswith("\u0001"):
+                if not header:
+                    open_.append(len(out))
+                out.append(Quantity(units()[header][0] if header else None, header, sign * value, phrase, base + m.start(), bool(header)))
+    if first_header:
+        for k in open_:
+            out[k] = out[k]._replace(dimension=units()[first_header][0], unit=first_header, named=True)
     return out

@@ -2,8 +2,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from strataloom.functions.quantities import read_quantities, rounded, to_common
-from strataloom.operators.units import common_quantities, unit_posteriors
+from strataloom.functions.quantities import decimal_style, read_quantities, rounded, style_bucket, to_common
+from strataloom.operators.units import common_quantities, style_weights, unit_posteriors
 
 
 def read(text):
@@ -53,3 +53,43 @@ def test_table(spark):
     bare = {r["amount"]: r for r in got if r["inferred"]}
     assert bare[2600]["unit"] == "mm" and not bare[2600]["uncertain"] and bare[None]["uncertain"]
     assert common_quantities(spark.createDataFrame([], "id string, text string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("क्लीयरेंस ५ मिमी", [("length", 5000)]), ("الخلوص ٣ مم", [("length", 3000)]), ("间隙不大于三毫米", [("length", 3000)]), ("压力不低于十千帕", [("pressure", 10000)]), ("三十毫米", [("length", 30000)]),
+        ("Spiel: 1,250 mm laut Zeichnung", [("length", 1250)]), ("clearance: 1,250 mm by the drawing", [("length", 1250000)]),
+        ("A-1: Spiel 3,5. Angaben in mm.", [("length", 3500)]), ("Angaben in mm. A-1: Spiel 3,5. B-2: Weg 2,5. Es gibt 21 Schrauben.", [("length", 3500), ("length", 2500)]),
+        ("单位：mm。甲的间隙3.5。单位：kPa。乙的压力2。换热面积8 m²，容积7.4 m³。", [("length", 3500), ("pressure", 2000)]), ("3.5。", []),
+    ],
+)
+def test_read_across_sentences(text, wanted):
+    assert read(text) == wanted
+
+
+def test_decimal_style_learned_from_separators(spark):
+    rows = [(f"Spalt am Rotor: {i},5 mm",) for i in range(20)] + [(f"rotor gap: {i}.5 mm",) for i in range(20)] + [(None,), ("",), ("Spalt 1,250 mm",)]
+    weights = style_weights(spark.createDataFrame(rows, "text string"))
+    assert weights[style_bucket("spalt")] > 1 > -1 > weights[style_bucket("gap")]
+    assert decimal_style("Spalt 1,250", weights) == "comma" and decimal_style("gap 1,250", weights) == "point" and decimal_style("Spalt 1.250,5 gap") == "comma"
+    assert not style_weights(spark.createDataFrame([], "text string")).any()
+
+
+def test_named_units_are_prior_evidence():
+    known = pd.DataFrame({"bin": np.round(np.log10(np.random.default_rng(1).lognormal(np.log(3000), 0.2, 200)) / 0.05).astype(int), "unit": "mm", "n": 1})
+    at = round(np.log10(3.1) / 0.05)
+    bare = pd.DataFrame({"bin": [at, at, at, 120], "named": ["mm", "kPa", None, "cm"], "n": [1, 1, 1, 1]})
+    got = unit_posteriors(known, bare)
+    assert list(got["unit"]) == ["mm", "kPa", "mm", "cm"] and (got["posterior"] > 0.9).all()
+
+
+def test_unitless_values_come_through_the_mixture(spark):
+    rows = [(f"s{i}", f"实测ABC-{10000 + i}的间隙：{2 + i % 3}.5 mm。") for i in range(30)] + [(f"h{i}", f"实测ABC-{20000 + i}的重量：{20 + i % 9} kg。") for i in range(30)]
+    rows += [("bare", "实测ABC-3的间隙：3.1。"), ("named", "单位：mm。实测ABC-4的间隙：3.1。"), ("apart", "实测ABC-5的间隙：0.4。单位：cm。"), ("heat", "单位：°F。实测ABC-6的温度：50。"), ("odd", "实测ABC-7的间隙：70000。"), ("no", "实测ABC-8的颜色：7。"), ("zero", "单位：mm。实测ABC-9的间隙：0。")]
+    got = {r["id"]: r for r in common_quantities(spark.createDataFrame(rows, "id string, text string")).where("inferred").collect()}
+    assert (got["bare"]["amount"], got["bare"]["unit"], got["bare"]["uncertain"]) == (3100, "mm", False)
+    assert got["named"]["amount"] == 3100 and got["apart"]["amount"] == 4000 and got["apart"]["unit"] == "cm" and got["heat"]["amount"] == 10000 and got["zero"]["amount"] == 0
+    assert not any(got[k]["uncertain"] for k in ("named", "apart", "heat", "zero")) and got["no"]["uncertain"] and got["no"]["amount"] is None
+    # With one known unit nothing else is possible, so even an outlier takes it.
+    assert got["odd"]["unit"] == "mm"
