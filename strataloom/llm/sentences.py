@@ -21,12 +21,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strataloom.operators.skew import salted_join
 from strataloom.session import durable
 
 HASH = 1 << 17
 #: At most so many distinct labelled contexts, those of least hash, train the model; counts cover all texts.
-MAX_CONTEXTS = 60_000
+MAX_CONTEXTS = 20_000
 #: A stop of a token seen this often is reliable if its share at line ends is outside the two bounds.
 SEEN, RARELY, OFTEN = 4, 0.02, 0.12
 
@@ -106,6 +108,10 @@ def kind_of(token: str) -> str:
     return "U" if c.isupper() else "l" if c.islower() else "A" if c.isalpha() else "P"
 
 
+#: Stands for every tag behind a mark; numbers there are written as 0, so that contexts repeat.
+TAG = "AA-0"
+
+
 def _token_after(text: str, at: int) -> str:
     m = _NEXT_TOKEN.match(text, at)
     if not m:
@@ -116,6 +122,10 @@ def _token_after(text: str, at: int) -> str:
         return token[:2]
     if k == "T":
         return token[:12]
+    if k == "#":
+        return TAG
+    if k == "0":
+        token = re.sub(r"\d+(?:[.,]\d+)*", "0", token)
     return re.sub(r"[.,;:!?।]+$", "", token) or token
 
 
@@ -316,25 +326,47 @@ def train(rows: pd.DataFrame, rounds: int = 150, rate: float = 0.5, decay: float
     return weights.astype(np.float32)
 
 
-def fit(texts: DataFrame, most: int = MAX_CONTEXTS) -> np.ndarray:
-    """The model of all texts (``text``): contexts are counted over all of them, labelled, and at most ``most`` train it."""
+@F.pandas_udf(T.IntegerType())
+def _labels(mark: pd.Series, before: pd.Series, sep: pd.Series, after: pd.Series, seen: pd.Series, last: pd.Series, bare: pd.Series, as_unit: pd.Series) -> pd.Series:
+    out = []
+    for m, b, s, a, k, at_end, alone, unit in zip(mark, before, sep, after, seen.fillna(0), last.fillna(0), bare.fillna(0), as_unit.fillna(0), strict=True):
+        lettered = re.search(r"[^\W\d_]", b) and not re.search(r"[/²³%‰°]", b)
+        # A token seen without a stop more often than with one is no abbreviation, however rarely it ends a line.
+        share = None if not k or at_end <= RARELY * k and (alone > k or not lettered) else at_end / k
+        # A token that elsewhere follows numbers is a unit; named alone before a tag, it ends its sentence.
+        ends = s == "start" or m == "." and s == "space" and kind_of(a) == "#" and unit >= 2
+        out.append(1 if ends else label(m, b, s, a, share, int(k)))
+    return pd.Series(out, dtype="Int32")
+
+
+def labelled(texts: DataFrame) -> DataFrame:
+    """``mark, before, sep, after, n, y``: the contexts of all candidates of ``texts`` (``text``) that tell their label reliably.
+
+    Contexts, stops per token, tokens without stop and tokens behind numbers are counted over all texts and joined.
+    """
     counts = texts.where("text is not null").select("text").mapInPandas(_contexts, "mark string, before string, sep string, after string, n bigint")
     counts = durable(counts.groupBy("mark", "before", "sep", "after").agg(F.sum("n").alias("n")))
     bare = counts.where("mark = 'word'").select("before", F.col("n").alias("bare"))
-    counts = counts.where("mark <> 'word'")
-    stops = counts.where("mark = '.' and sep <> 'none'").groupBy("before").agg(F.sum("n").alias("seen"), F.sum(F.when(F.col("sep").isin("line", "end"), F.col("n")).otherwise(0)).alias("last"))
-    joined = counts.join(stops, "before", "left").join(bare, "before", "left").orderBy(F.xxhash64("mark", "before", "sep", "after")).limit(4 * most)
-    rows = joined.toPandas()
-    # A token seen without a stop more often than with one is no abbreviation, however rarely it ends a line.
-    spoken = rows["bare"].fillna(0) > rows["seen"].fillna(0)
-    lettered = rows["before"].str.contains(r"[^\W\d_]") & ~rows["before"].str.contains(r"[/²³%‰°]")
-    shares = [None if pd.isna(s) or l <= RARELY * s and (b or not a) else l / s for s, l, b, a in zip(rows["seen"], rows["last"], spoken, lettered, strict=True)]
-    y = [1 if sep == "start" else label(m, b, sep, a, s, 0 if pd.isna(k) else int(k)) for m, b, sep, a, s, k in zip(rows["mark"], rows["before"], rows["sep"], rows["after"], shares, rows["seen"], strict=True)]
-    # A token that elsewhere follows numbers is a unit; named alone before a tag, it ends its sentence.
-    seen = dict(zip(rows["before"], rows["seen"].fillna(0), strict=True))
-    unit = [m == "." and sep == "space" and kind_of(a) == "#" and seen.get(f"0 {b}", 0) + seen.get(f"0{b}", 0) >= 2 for m, b, sep, a in zip(rows["mark"], rows["before"], rows["sep"], rows["after"], strict=True)]
-    rows["y"] = [1 if u else v for u, v in zip(unit, y, strict=True)]
-    return train(rows[rows["y"].notna()].head(most))
+    contexts = counts.where("mark <> 'word'")
+    stops = contexts.where("mark = '.' and sep <> 'none'").groupBy("before").agg(F.sum("n").alias("seen"), F.sum(F.when(F.col("sep").isin("line", "end"), F.col("n")).otherwise(0)).alias("last"))
+    units = stops.where("before rlike '^0 ?[^ 0]'").groupBy(F.regexp_replace("before", "^0 ?", "").alias("before")).agg(F.sum("seen").alias("as_unit"))
+    told = stops.join(bare, "before", "full").join(units, "before", "full")
+    rows = salted_join(contexts, told, ["before"], F.concat("after", "sep", "mark"), "left")
+    rows = rows.withColumn("y", _labels("mark", "before", "sep", "after", "seen", "last", "bare", "as_unit"))
+    return rows.where("y is not null").select("mark", "before", "sep", "after", "n", "y")
+
+
+def fit(texts: DataFrame, most: int = MAX_CONTEXTS) -> np.ndarray:
+    """The model of all texts (``text``): contexts are counted and labelled over all of them, and at most ``most`` train it.
+
+    The contexts that train are those whose hash lies below a bound, which a count of all labelled contexts sets; no
+    more rows than that reach the driver.
+    """
+    rows = durable(labelled(texts))
+    number = rows.count()
+    if number > most:
+        rows = rows.where(F.pmod(F.xxhash64("mark", "before", "sep", "after"), F.lit(1 << 30)) < F.lit(int((1 << 30) * 0.98 * most / number)))
+    return train(rows.toPandas().sort_values(["mark", "before", "sep", "after"]).head(most))
 
 
 def spans(text: str, weights: np.ndarray, known: dict | None = None) -> list[tuple[int, int]]:

@@ -1,6 +1,6 @@
 import pytest
 
-from strataloom.llm.sentences import fit, sentences, spans
+from strataloom.llm.sentences import fit, labelled, sentences, spans
 
 TEXTS = [
     "See Fig. 58 and Sec. 2.6.10 for the gasket seat. Before closing the cover, the crew shall measure it.",
@@ -39,3 +39,13 @@ def test_table(spark, model):
     df = spark.createDataFrame([("a", "甲。乙。", 1), ("a", "甲。乙。", 2), ("b", None, 3), ("c", "", 4)], "id string, text string, start_char int")
     assert sorted(tuple(r) for r in sentences(df, ["id"], model).collect()) == [("a", 0, 2), ("a", 2, 4)]
     assert sentences(df.limit(0), ["id"]).count() == 0
+
+
+def test_training_is_bounded_and_labels_cover_all(spark):
+    rows = [(f"{k}", f"Check pump ABC-{k} now. Der Spalt beträgt ca. {k} mm. XYZ-{k} runs.") for k in range(400)]
+    texts = spark.createDataFrame(rows, "id string, text string")
+    told = labelled(texts).collect()
+    # Tags and numbers behind a mark are one context each, however many there are.
+    assert len(told) < 20 and sum(r["n"] for r in told) == 4 * 400
+    assert all(r["y"] == 0 for r in told if r["before"] == "ca")
+    assert fit(texts, most=3).any() and not fit(texts.limit(0)).any()
