@@ -10,15 +10,16 @@ a kept window.
 free width: numbers, unit signs after numbers and names (letters joined with digits) become one placeholder each, so
 questions with other numbers, names or units of another length still meet.
 
-Kept windows of corpus and items are joined by hash. The slots then decide: an unbroken run of equal characters is a
-verbatim leak; equal templates whose slots map one to one onto each other are a re-parameterised one.
+Kept windows of corpus and items are joined by hash. A window that both hold fixes how the two texts lie over each
+other; the common stretch is followed from there in both directions, and the slots in it decide: slots that are all
+equal over ``reach`` characters make a verbatim leak, slots that map one to one onto each other a re-parameterised one.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.operators.skew import salted_join
 from strataloom.session import durable
 
 RUN = 40
@@ -34,7 +36,9 @@ WIDTH = 20
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 # Placeholders of the free-width template and the unit signs that follow a number.
-NUMBER, NAME, UNIT = "0", "\ue000", "\ue001"
+NUMBER, NAME, UNIT = "\ue002", "\ue000", "\ue001"
+#: Placeholders that a text itself holds are read as spaces.
+_FREE = dict.fromkeys(map(ord, NUMBER + NAME + UNIT), " ")
 UNITS = r"mpa|kpa|mm|cm|km|kg|°c|℃|bar|min|m|h|s|t|n|kn|%|‰|毫米|厘米|米|分钟|小时|兆帕|千帕|吨|公斤"
 _SLOT = re.compile(
     r"(?P<name>(?<![a-z0-9])[a-z]{2,}[-‐‑]?\d+(?![a-z0-9]))|(?P<number>\d+(?:[.,]\d+)*)(?:\s?(?P<unit>(?:" + UNITS + r")(?![a-z])))?"
@@ -48,7 +52,7 @@ def stream(text: str) -> str:
 
 def free_template(text: str) -> tuple[str, list[str]]:
     """The stream with typed placeholders for numbers, names and units, and the values of its slots in order."""
-    text, slots, out, at = unicodedata.normalize("NFKC", text).casefold(), [], [], 0
+    text, slots, out, at = unicodedata.normalize("NFKC", text.translate(_FREE)).casefold(), [], [], 0
     for m in _SLOT.finditer(text):
         out.append("".join(filter(str.isalnum, text[at : m.start()])))
         if m["name"]:
@@ -104,7 +108,7 @@ _NAMES = re.compile(r"(?<![a-z0-9])[a-z]{2,}[-‐‑]?\d+(?![a-z0-9])")
 
 def _streams(texts: list[str], gap: int) -> tuple[np.ndarray, np.ndarray]:
     """The two templates of all texts as code points, with ``gap`` zeros before each text."""
-    joined = unicodedata.normalize("NFKC", "\0".join(["", *(t.replace("\0", " ") for t in texts)])).casefold()
+    joined = unicodedata.normalize("NFKC", "\0".join(["", *(t.replace("\0", " ") for t in texts)]).translate(_FREE)).casefold()
     out = []
     for text in (joined, _NUMBER.sub(NUMBER, _NUMBER_UNIT.sub(NUMBER + UNIT, _NAMES.sub(NAME, joined)))):
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -114,14 +118,14 @@ def _streams(texts: list[str], gap: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def kept_windows(texts: list[str], every: bool, width: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, family, hash) of the windows of the templates; all of them, or of each stretch the one of least hash.
+def kept_windows(texts: list[str], every: bool, width: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, family, place, hash) of the windows of the templates; all of them, or of each stretch the one of least hash.
 
     A stretch has ``reach - width + 1`` successive windows; a text with fewer windows keeps its least one. Family 0 is
-    the same-width template, 1 the free-width one.
+    the same-width template, 1 the free-width one; places count the characters of the template.
     """
     stretch = reach - width + 1
-    gap, at, family, found = width + stretch, [], [], []
+    gap, at, family, places, found = width + stretch, [], [], [], []
     for k, code in enumerate(_streams(texts, gap)):
         starts = np.flatnonzero(code == 0)[::gap]
         code = np.concatenate([code, np.zeros(gap, np.uint64)])
@@ -134,10 +138,12 @@ def kept_windows(texts: list[str], every: bool, width: int, reach: int) -> tuple
             low = _slid(hashes, stretch, least=True)
             keep = valid & (_slid(np.concatenate([np.zeros(stretch - 1, np.uint64), low, np.zeros(stretch - 1, np.uint64)]), stretch, least=False) == hashes)
         place = np.flatnonzero(keep)
-        at.append(np.searchsorted(starts, place, side="right") - 1)
+        of = np.searchsorted(starts, place, side="right") - 1
+        at.append(of)
         family.append(np.full(len(place), k, np.int32))
+        places.append((place - starts[of] - gap).astype(np.int32))
         found.append(hashes[place].view(np.int64))
-    return np.concatenate(at), np.concatenate(family), np.concatenate(found)
+    return np.concatenate(at), np.concatenate(family), np.concatenate(places), np.concatenate(found)
 
 
 def _windows(keys: list[str], every: bool, width: int, reach: int):
@@ -145,46 +151,80 @@ def _windows(keys: list[str], every: bool, width: int, reach: int):
         for batch in batches:
             for first in range(0, len(batch), 512):
                 part = batch.iloc[first : first + 512]
-                at, family, found = kept_windows(list(part["text"]), every, width, reach)
+                at, family, place, found = kept_windows(list(part["text"]), every, width, reach)
                 out = part[keys].iloc[at].reset_index(drop=True)
-                out["family"], out["h"] = family, found
-                yield out.drop_duplicates()
+                out["family"], out["place"], out["h"] = family, place, found
+                yield out
 
     return run
 
 
 def windows(df: DataFrame, keys: list[str], every: bool = False, width: int = WIDTH, reach: int = RUN) -> DataFrame:
-    """``keys, family, h``: hashes of template windows of ``df`` (``keys, text``); all or those kept by least hash."""
+    """``keys, family, place, h``: hashes of template windows of ``df`` (``keys, text``); all or those kept by least hash."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    return df.select(*keys, "text").where("text is not null").mapInPandas(_windows(keys, every, width, reach), f"{fields}, family int, h bigint")
-
-
-def longest_run(a: str, b: str, least: int) -> int:
-    """Length of the longest common run of two streams if it is ``least`` or more, else 0."""
-    if len(a) > len(b):
-        a, b = b, a
-    best, i = 0, 0
-    while i + max(least, best + 1) <= len(a):
-        size = max(least, best + 1)
-        if a[i : i + size] in b:
-            while i + size < len(a) and a[i : i + size + 1] in b:
-                size += 1
-            best = size
-        i += 1
+    return df.select(*keys, "text").where("text is not null").mapInPandas(_windows(keys, every, width, reach), f"{fields}, family int, place int, h bigint")
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _overlay(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, np.ndarray]:
+    """Where in ``a`` the overlay of ``b`` at ``shift`` begins, and whether the characters are equal from there on."""
+    lo, hi = max(0, shift), min(len(a), len(b) + shift)
+    return lo, a[lo:hi] == b[lo - shift : hi - shift] if hi > lo else np.zeros(0, bool)
+
+
+def _stretches(equal: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(first, behind last) of the runs of true values of ``least`` or more."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], equal.astype(np.int8), [0]])))
+    return [(int(i), int(j)) for i, j in zip(edge[::2], edge[1::2], strict=True) if j - i >= least]
+
+
+def equal_run(a: np.ndarray, b: np.ndarray, shifts: Iterable[int], least: int) -> int:
+    """Length of the longest run of equal characters of two streams (as codes) laid over each other, if ``least`` or more."""
+    best = 0
+    for shift in shifts:
+        for i, j in _stretches(_overlay(a, b, shift)[1], max(least, best + 1)):
+            best = max(best, j - i)
     return best
 
 
-def consistent(a: str, b: str) -> bool:
-    """Whether the second text is the first with other values: equal templates, slots mapped one to one by a function."""
-    (s, x), (t, y) = free_template(a), free_template(b)
-    if len(s) > len(t):
-        (s, x), (t, y) = (t, y), (s, x)
-    at = t.find(s)
-    if at < 0 or not s:
-        return False
-    skipped = sum(c in (NUMBER, NAME, UNIT) for c in t[:at])
-    there: dict[str, str] = {}
-    return all(there.setdefault(p, q) == q for p, q in zip(x, y[skipped : skipped + len(x)], strict=False))
+_PLACEHOLDERS = np.array([ord(NUMBER), ord(NAME), ord(UNIT)], dtype=np.uint32)
+
+
+def same_question(a: tuple[np.ndarray, list[str]], b: tuple[np.ndarray, list[str]], shifts: Iterable[int], least: int) -> int:
+    """Length of the longest stretch of two free-width templates (codes, slot values) with consistent slots, or 0.
+
+    Slots are consistent if their values map one to one onto each other. A stretch counts if it has ``least`` characters
+    or more, holds a slot whose values differ, and at least half of it is text and not placeholders.
+    """
+    best = 0
+    slot_a, slot_b = (np.concatenate([[0], np.cumsum(np.isin(t, _PLACEHOLDERS))]) for t, _ in (a, b))
+    for shift in shifts:
+        lo, equal = _overlay(a[0], b[0], shift)
+        for i, j in _stretches(equal, max(least, best + 1)):
+            first, last = lo + i, lo + j
+            ka, kb, n = slot_a[first], slot_b[first - shift], int(slot_a[last] - slot_a[first])
+            places = first + np.flatnonzero(np.isin(a[0][first:last], _PLACEHOLDERS))
+            pairs = list(zip(a[1][ka : ka + n], b[1][kb : kb + n], strict=True))
+            start = first
+            at, there, back, changed = 0, {}, {}, []
+            for k in [*range(n), n]:
+                end = int(places[k]) if k < n else last
+                if end - start > max(best, least - 1) and any(changed) and 2 * (k - at) <= end - start:
+                    best = end - start
+                if k == n:
+                    break
+                x, y = pairs[k]
+                while at < k and (there.get(x, y) != y or back.get(y, x) != x):
+                    start = int(places[at]) + 1
+                    at += 1
+                    changed = changed[1:]
+                    there, back = dict(pairs[at:k]), {v: u for u, v in pairs[at:k]}
+                there[x], back[y] = y, x
+                changed.append(x != y)
+    return best
 
 
 def _verdicts(least: int):
@@ -193,9 +233,15 @@ def _verdicts(least: int):
         rows, items = [], {}
         for a, b, same, free in zip(text, item, exact, loose, strict=True):
             if b not in items:
-                items[b] = stream(b)
-            run = longest_run(items[b], stream(a), least) if same else 0
-            rows.append((run, "verbatim" if run else "reworded values" if free and consistent(b, a) else None))
+                template, slots = free_template(b)
+                items[b] = _codes(stream(b)), (_codes(template), slots)
+            run = equal_run(_codes(stream(a)), items[b][0], same, least) if len(same) else 0
+            kind = "verbatim" if run else None
+            if not run and len(free):
+                template, slots = free_template(a)
+                run = same_question((_codes(template), slots), items[b][1], free, least)
+                kind = "reworded values" if run else None
+            rows.append((run, kind))
         return pd.DataFrame(rows, columns=["run", "kind"])
 
     return verdict
@@ -205,17 +251,19 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = RUN, width: int =
     """``doc_id, item_id, run, kind`` of every document that holds an item, fully or in part.
 
     ``documents`` has ``doc_id, text``, ``items`` has ``item_id, text``. kind is ``verbatim`` for an unbroken common
-    run of ``run`` or more letters or digits (its length in ``run``), else ``reworded values`` for a passage that
-    equals the whole item but for consistently replaced numbers, names and units. Null and short texts leak nothing;
-    equal items are all reported. The windows of the corpus meet the items' by a join on the hash: the items' side is
-    broadcast only while its size stays under the session's threshold; candidates alone fetch the texts again.
+    run of ``run`` or more letters or digits (its length in ``run``), else ``reworded values`` for a passage of ``run``
+    or more characters of the free-width template that equals part of the item but for numbers, names and units that
+    are replaced one to one. Null and short texts leak nothing; equal items are all reported. The windows of the corpus
+    meet the items' by a join on the hash: the items' side is broadcast only while its size stays under the session's
+    threshold; candidates alone fetch the texts again, and an item that many documents hold is spread over tasks.
     """
-    items = items.select("item_id", "text").where("text is not null").distinct()
-    wanted = durable(windows(items, ["item_id"], every=True, width=width, reach=run).distinct())
-    met = windows(documents, ["doc_id"], width=width, reach=run).join(wanted, ["family", "h"])
-    hit = met.groupBy("doc_id", "item_id").agg(F.max(F.col("family") == 0).alias("exact"), F.max(F.col("family") == 1).alias("loose"))
+    items = items.select("item_id", "text").where("text is not null and item_id is not null").distinct()
+    wanted = durable(windows(items, ["item_id"], every=True, width=width, reach=run).withColumnRenamed("place", "item_place"))
+    met = windows(documents.where("doc_id is not null"), ["doc_id"], width=width, reach=run).join(wanted, ["family", "h"])
+    shift = F.col("place") - F.col("item_place")
+    hit = met.groupBy("doc_id", "item_id").agg(F.collect_set(F.when(F.col("family") == 0, shift)).alias("exact"), F.collect_set(F.when(F.col("family") == 1, shift)).alias("loose"))
     hit = durable(hit)
     texts = documents.select("doc_id", "text").where("text is not null").join(hit.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
-    both = hit.join(texts, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
+    both = salted_join(hit.join(texts, "doc_id"), items.withColumnRenamed("text", "item"), ["item_id"], F.col("doc_id"))
     judged = both.select("doc_id", "item_id", _verdicts(run)("text", "item", "exact", "loose").alias("v")).where("v.kind is not null")
-    return judged.groupBy("doc_id", "item_id").agg(F.max("v.run").alias("run"), F.max("v.kind").alias("kind"))
+    return judged.groupBy("doc_id", "item_id").agg(F.max_by("v.run", F.struct(F.col("v.kind") == "verbatim", "v.run")).alias("run"), F.max("v.kind").alias("kind"))
