@@ -37,8 +37,7 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 # Placeholders of the free-width template and the unit signs that follow a number.
 NUMBER, NAME, UNIT = "\ue002", "\ue000", "\ue001"
-#: Placeholders that a text itself holds are read as spaces.
-_FREE = dict.fromkeys(map(ord, NUMBER + NAME + UNIT), " ")
+_HELD = re.compile(f"[{NUMBER}{NAME}{UNIT}]")
 UNITS = r"mpa|kpa|mm|cm|km|kg|°c|℃|bar|min|m|h|s|t|n|kn|%|‰|毫米|厘米|米|分钟|小时|兆帕|千帕|吨|公斤"
 _SLOT = re.compile(
     r"(?P<name>(?<![a-z0-9])[a-z]{2,}[-‐‑]?\d+(?![a-z0-9]))|(?P<number>\d+(?:[.,]\d+)*)(?:\s?(?P<unit>(?:" + UNITS + r")(?![a-z])))?"
@@ -52,7 +51,7 @@ def stream(text: str) -> str:
 
 def free_template(text: str) -> tuple[str, list[str]]:
     """The stream with typed placeholders for numbers, names and units, and the values of its slots in order."""
-    text, slots, out, at = unicodedata.normalize("NFKC", text.translate(_FREE)).casefold(), [], [], 0
+    text, slots, out, at = unicodedata.normalize("NFKC", _HELD.sub(" ", text)).casefold(), [], [], 0
     for m in _SLOT.finditer(text):
         out.append("".join(filter(str.isalnum, text[at : m.start()])))
         if m["name"]:
@@ -107,14 +106,14 @@ _NAMES = re.compile(r"(?<![a-z0-9])[a-z]{2,}[-‐‑]?\d+(?![a-z0-9])")
 
 
 def _streams(texts: list[str], gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two templates of all texts as code points, with ``gap`` zeros before each text."""
-    joined = unicodedata.normalize("NFKC", "\0".join(["", *(t.replace("\0", " ") for t in texts)]).translate(_FREE)).casefold()
+    """The stream and the free-width template of all texts as code points, with ``gap`` zeros before each text."""
+    # Placeholders that a text itself holds are read as spaces.
+    joined = unicodedata.normalize("NFKC", _HELD.sub(" ", "\0".join(["", *(t.replace("\0", " ") for t in texts)]))).casefold()
     out = []
     for text in (joined, _NUMBER.sub(NUMBER, _NUMBER_UNIT.sub(NUMBER + UNIT, _NAMES.sub(NAME, joined)))):
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         code = code[_alnum()[code] | (code == 0) | ((code >= 0xE000) & (code < 0xE003))]
-        code = np.where((code >= 48) & (code <= 57), 48, code).astype(np.uint64)
-        out.append(np.repeat(code, np.where(code == 0, gap, 1)))
+        out.append(np.repeat(code, np.where(code == 0, gap, 1)) if gap > 1 else code)
     return out[0], out[1]
 
 
@@ -128,7 +127,7 @@ def kept_windows(texts: list[str], every: bool, width: int, reach: int) -> tuple
     gap, at, family, places, found = width + stretch, [], [], [], []
     for k, code in enumerate(_streams(texts, gap)):
         starts = np.flatnonzero(code == 0)[::gap]
-        code = np.concatenate([code, np.zeros(gap, np.uint64)])
+        code = np.concatenate([np.where((code >= 48) & (code <= 57), 48, code).astype(np.uint64), np.zeros(gap, np.uint64)])
         hashes = _rolled(code, width)
         inside = np.concatenate([[0], np.cumsum(code == 0)])
         valid = inside[width : width + len(hashes)] == inside[: len(hashes)]
@@ -230,16 +229,16 @@ def same_question(a: tuple[np.ndarray, list[str]], b: tuple[np.ndarray, list[str
 def _verdicts(least: int):
     @F.pandas_udf(T.StructType([T.StructField("run", T.IntegerType()), T.StructField("kind", T.StringType())]))
     def verdict(text: pd.Series, item: pd.Series, exact: pd.Series, loose: pd.Series) -> pd.DataFrame:
-        rows, items = [], {}
+        names = list(dict.fromkeys([*text, *item]))
+        read = {t: codes for t, *codes in zip(names, *(np.split(c, np.flatnonzero(c == 0))[1:] for c in _streams(names, 1)), strict=True)}
+        rows = []
         for a, b, same, free in zip(text, item, exact, loose, strict=True):
-            if b not in items:
-                template, slots = free_template(b)
-                items[b] = _codes(stream(b)), (_codes(template), slots)
-            run = equal_run(_codes(stream(a)), items[b][0], same, least) if len(same) else 0
+            (x, fx), (y, fy) = read[a], read[b]
+            run = equal_run(x[1:], y[1:], same, least) if len(same) else 0
             kind = "verbatim" if run else None
-            if not run and len(free):
-                template, slots = free_template(a)
-                run = same_question((_codes(template), slots), items[b][1], free, least)
+            if not run:
+                far = [shift for shift in free if _stretches(_overlay(fx[1:], fy[1:], shift)[1], least)]
+                run = same_question(*((_codes(t), slots) for t, slots in map(free_template, (a, b))), far, least) if far else 0
                 kind = "reworded values" if run else None
             rows.append((run, kind))
         return pd.DataFrame(rows, columns=["run", "kind"])
