@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.operators.skew import salted_join
 from strataloom.session import durable
 
 # Letters of Cyrillic and Greek that look like a Latin letter.
@@ -175,8 +176,8 @@ def canonical(df: DataFrame, keys: list[str], corpus: list[DataFrame] | None = N
     """
     names = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema]
     rows = df.where("text is not null").select(*keys, F.md5("text").alias("raw"), "text")
-    parts = rows.mapInPandas(_folded, ", ".join([*names, "raw string", "folded string", "tokens array<string>", "scripts array<string>"]))
-    doubtful = durable(parts.where("size(tokens) > 0"))
+    parts = durable(rows.mapInPandas(_folded, ", ".join([*names, "raw string", "folded string", "tokens array<string>", "scripts array<string>"])))
+    doubtful = parts.where("size(tokens) > 0")
     pairs = doubtful.select(F.explode(F.arrays_zip("tokens", "scripts")).alias("p")).select("p.tokens", "p.scripts").distinct()
     choice = durable(pairs.select(F.col("tokens").alias("token"), F.col("scripts").alias("dominant"), F.posexplode(_options("tokens", "scripts")).alias("rank", "word")))
     known = vocabulary(corpus or [df.select("text")], choice.select("word").distinct())
@@ -192,14 +193,16 @@ def canonical(df: DataFrame, keys: list[str], corpus: list[DataFrame] | None = N
 def alike_pairs(rows: DataFrame, group: str) -> DataFrame:
     """``group, id_a, id_b``: ids of equal ``look`` and different ``raw`` within a group; rows have ``group, id, raw, look``.
 
-    Variants of a look are paired first and then expanded, so equal copies are never compared with each other.
+    Variants of a look are paired first and then expanded, so equal copies are never compared with each other. The
+    rows of a look with many copies are spread over tasks on both sides.
     """
-    rows = durable(rows.distinct())
     variant = rows.select(group, "look", "raw").distinct()
     several = variant.groupBy(group, "look").agg(F.count("*").alias("n")).where("n > 1").select(group, "look")
-    variant = durable(variant.join(several, [group, "look"], "left_semi"))
+    rows = durable(salted_join(rows.distinct(), several, [group, "look"], F.col("id"), "left_semi"))
+    variant = durable(rows.select(group, "look", "raw").distinct())
     pair = variant.select(group, "look", F.col("raw").alias("raw_a")).join(variant.select(group, "look", F.col("raw").alias("raw_b")), [group, "look"]).where("raw_a < raw_b")
     left = rows.select(group, "look", F.col("raw").alias("raw_a"), F.col("id").alias("x"))
     right = rows.select(group, "look", F.col("raw").alias("raw_b"), F.col("id").alias("y"))
-    full = pair.join(left, [group, "look", "raw_a"]).join(right, [group, "look", "raw_b"]).where("x <> y")
+    one = salted_join(left, pair, [group, "look", "raw_a"], F.col("x"))
+    full = salted_join(one, right, [group, "look", "raw_b"], F.col("x")).where("x <> y")
     return full.select(group, F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
