@@ -13,10 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.operators.skew import SALTS, salted_join
 from strataloom.session import durable
 
-SALTS = 16
-
 
 def month(at: Column) -> Column:
     """The month of a time in UTC, whatever the time zone of the session."""
@@ -55,12 +54,6 @@ def _suspicious(refs: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
-def _salted(refs: DataFrame, keys: DataFrame, on: list[str], salts: int) -> DataFrame:
-    left = refs.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    right = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, [*on, "_salt"]).drop("_salt")
-
-
 def orphan_references(refs: DataFrame, target: DataFrame, salts: int = SALTS) -> DataFrame:
     """References whose target is missing, deleted or late: the reference columns and ``state``.
 
@@ -69,7 +62,7 @@ def orphan_references(refs: DataFrame, target: DataFrame, salts: int = SALTS) ->
     on either side cannot be compared and is never late.
     """
     state = F.when(F.col("gone").isNull(), "missing").when(F.col("gone"), "deleted").when(F.col("first_at") > F.col("seen_at"), "late")
-    found = _salted(refs, _suspicious(refs, target), ["target_key"], salts)
+    found = salted_join(refs, _suspicious(refs, target), ["target_key"], F.col("id"), salts=salts)
     return found.withColumn("state", state).where(F.col("state").isNotNull()).drop("first_at", "gone")
 
 
@@ -81,7 +74,7 @@ def missing_members(refs: DataFrame, members: DataFrame, owners: DataFrame, salt
     wanted = refs.select("grp", "target_key").where("grp is not null").distinct()
     absent = wanted.join(members.select("grp", "target_key").distinct(), ["grp", "target_key"], "left_anti")
     absent = absent.join(owners.select(F.col("target_key").alias("grp")), "grp", "left_semi")
-    return _salted(refs, absent, ["grp", "target_key"], salts).withColumn("state", F.lit("missing"))
+    return salted_join(refs, absent, ["grp", "target_key"], F.col("id"), salts=salts).withColumn("state", F.lit("missing"))
 
 
 @dataclass(frozen=True)
@@ -106,7 +99,7 @@ def orphan_cascade(ids: Mapping[str, DataFrame], links: Sequence[ForeignKey], ma
     frontier = None
     for child, parent, refs in link:
         dangling = refs.select("target_key").distinct().join(ids[parent].select(F.col("id").alias("target_key")), "target_key", "left_anti")
-        direct = refs.join(dangling, "target_key", "left_semi").select(F.lit(child).alias("tbl"), "id").distinct()
+        direct = salted_join(refs, dangling, ["target_key"], F.col("id"), "left_semi").select(F.lit(child).alias("tbl"), "id").distinct()
         frontier = direct if frontier is None else frontier.union(direct)
     if frontier is None:
         raise ValueError("at least one foreign key is needed")
@@ -116,7 +109,7 @@ def orphan_cascade(ids: Mapping[str, DataFrame], links: Sequence[ForeignKey], ma
         parts = []
         for child, parent, refs in link:
             gone = last.where(F.col("tbl") == parent).select(F.col("id").alias("target_key"))
-            parts.append(refs.join(gone, "target_key", "left_semi").select(F.lit(child).alias("tbl"), "id"))
+            parts.append(salted_join(refs, gone, ["target_key"], F.col("id"), "left_semi").select(F.lit(child).alias("tbl"), "id"))
         new = parts[0]
         for part in parts[1:]:
             new = new.union(part)

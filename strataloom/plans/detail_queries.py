@@ -11,7 +11,6 @@ from strataloom.operators.records import latest
 from strataloom.operators.references import numbered, references, resolve_references
 from strataloom.plans.knowledge_queries import _LAST, _MEM, _members
 from strataloom.plans.structure_queries import _BOX
-from strataloom.plans.text_queries import SQL as _TEXT
 from strataloom.plans.text_queries import _tokens
 from strataloom.session import table
 
@@ -64,14 +63,14 @@ def _resolved(spark, sf_dir) -> DataFrame:
     return resolve_references(references(_latest(spark, sf_dir, "evidence")), numbered(_latest(spark, sf_dir, "source_unit")))
 
 
-@_query("v10_dependencies", f"select id, count(*) as refs, count(*) filter (where status = 'missing') as blocked, count(*) filter (where status in ('ambiguous', 'children')) as deferred from ({_TEXT['r6_resolved']}) group by id")
+@_query("v10_dependencies")
 def v10(spark, sf_dir):
     """References of each evidence: blocked where missing or in part missing, deferred where not unique or in another document."""
     is_one = lambda *names: F.count_if(F.col("status").isin(*names))
     return _resolved(spark, sf_dir).groupBy("id").agg(F.count("*").alias("refs"), is_one("missing", "missing_range_endpoint").alias("blocked"), is_one("ambiguous", "ambiguous_range", "external_document").alias("deferred"))
 
 
-@_query("a10_gaps", f"select number, status, count(*) as n, min(id) as first_id from ({_TEXT['r6_resolved']}) where status <> 'resolved' group by number, status")
+@_query("a10_gaps")
 def a10(spark, sf_dir):
     """Gaps of references, each number and state once."""
     return _resolved(spark, sf_dir).where("status <> 'resolved'").groupBy("kind", "number", "end_number", "status").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataloom.functions.text import LIMIT_WORDS, compact
+from strataloom.functions.text import compact
 from strataloom.operators.assembly import aligned, assembled, compared
 from strataloom.operators.hierarchy import build_hierarchy, class_links, reachable_pairs
 from strataloom.operators.layout import boxes, lines, overlaps
@@ -79,21 +79,7 @@ def j11(spark, sf_dir):
     return aligned(e.where(F.col("seen") < cut), e.where(F.col("seen") >= cut), ["kind", "sig"])
 
 
-# Unit spellings of the comparison query, with dimension and factor.
-_UNITS = {"mm": ("length", 1000), "毫米": ("length", 1000), "cm": ("length", 10000), "厘米": ("length", 10000), "m": ("length", 1000000), "米": ("length", 1000000), "kPa": ("pressure", 1000), "MPa": ("pressure", 1000000), "Pa": ("pressure", 1), "s": ("time", 1), "min": ("time", 60), "h": ("time", 3600), "N": ("force", 1), "kN": ("force", 1000), "kg": ("mass", 1000), "t": ("mass", 1000000)}
-_NUM = r"([0-9]+(?:[.][0-9]+)?)\s*([A-Za-z毫厘米]+)。"
-_RULE = rf"([A-Z]+-[0-9]+)的([^0-9]+?)({'|'.join(sorted(LIMIT_WORDS, key=len, reverse=True))}){_NUM}"
-_FACT = rf"实测([A-Z]+-[0-9]+)的([^0-9]+?)：{_NUM}"
-_DIM = "case " + " ".join(f"when unit = '{u}' then '{d}'" for u, (d, _) in _UNITS.items()) + " end"
-_FAC = "case " + " ".join(f"when unit = '{u}' then {f}.0" for u, (_, f) in _UNITS.items()) + " end"
-_OPS = "case " + " ".join(f"when w = '{k}' then '{v}'" for k, v in LIMIT_WORDS.items()) + " end"
-
-
-@_query("x11_comparisons", f"""with r as (select id, tag, parameter, {_OPS} as op, {_DIM} as dimension, round(cast(v as double) * {_FAC}, 6) as value from (select id, unnest(regexp_extract_all(text, '{_RULE}', 1)) as tag, unnest(regexp_extract_all(text, '{_RULE}', 2)) as parameter, unnest(regexp_extract_all(text, '{_RULE}', 3)) as w, unnest(regexp_extract_all(text, '{_RULE}', 4)) as v, unnest(regexp_extract_all(text, '{_RULE}', 5)) as unit from {_LAST['statements']} where text is not null)),
-f as (select tag, parameter, {_DIM} as dimension, round(cast(v as double) * {_FAC}, 6) as value from (select unnest(regexp_extract_all(text, '{_FACT}', 1)) as tag, unnest(regexp_extract_all(text, '{_FACT}', 2)) as parameter, unnest(regexp_extract_all(text, '{_FACT}', 3)) as v, unnest(regexp_extract_all(text, '{_FACT}', 4)) as unit from {_LAST['statements']} where text is not null)),
-g as (select tag, parameter, count(distinct (dimension, value)) filter (where dimension is not null) as facts, min(value) as actual, min(dimension) as ad from f group by tag, parameter)
-select id, tag, parameter, op, case when facts is null then 'unknown' when facts > 1 then 'unknown' when dimension is null or ad is null or dimension <> ad then 'unknown' when op is null then 'unknown'
-when case op when 'le' then actual <= value when 'lt' then actual < value when 'ge' then actual >= value when 'gt' then actual > value when 'eq' then actual = value end then 'satisfied' else 'not_satisfied' end as status from r left join g using (tag, parameter)""")
+@_query("x11_comparisons")
 def x11(spark, sf_dir):
     """Limits of statements against the single measured value of the same tag and parameter."""
     read = durable(limits_and_facts(_latest(spark, sf_dir, "statements")))

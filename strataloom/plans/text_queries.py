@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataloom.functions.text import LIMIT_WORDS, clause_number, fingerprint, normalized, number_path, search_tokens
+from strataloom.functions.text import clause_number, fingerprint, normalized, number_path, search_tokens
 from strataloom.operators.limits import limits_and_facts
 from strataloom.operators.names import contained_names
 from strataloom.operators.records import latest
@@ -108,12 +108,7 @@ def l5(spark, sf_dir):
     return df.select("id", "document_id", F.row_number().over(Window.partitionBy("document_id").orderBy(number_path(F.col("number")), "id")).cast("bigint").alias("place"))
 
 
-_WORDS = "|".join(sorted(LIMIT_WORDS, key=len, reverse=True))
-_LIMIT = f"({_WORDS})\\s*([0-9]+(?:[.][0-9]+)?)\\s*([A-Za-z/°℃%]+)"
-_CASE = "case " + " ".join(f"when w = '{k}' then '{v}'" for k, v in LIMIT_WORDS.items()) + " end"
-
-
-@_query("x21_limits", f"select id, {_CASE} as op, cast(v as double) as value, unit from (select id, regexp_extract({_plain('text')}, '{_LIMIT}', 1) as w, regexp_extract({_plain('text')}, '{_LIMIT}', 2) as v, regexp_extract({_plain('text')}, '{_LIMIT}', 3) as unit from {_LAST['statements']}) where w <> ''")
+@_query("x21_limits")
 def x21(spark, sf_dir):
     """All limits that statements name in Chinese wording, with the usual spelling of their unit."""
     return limits_and_facts(latest(table(spark, sf_dir, "statements"))).where("op is not null").select("id", "op", "value", "unit")
@@ -133,17 +128,13 @@ def i1(spark, sf_dir):
     return df.groupBy("print").agg(F.countDistinct("id").alias("ids")).where("ids > 1")
 
 
-@_query("x13_references", f"select id, unnest(regexp_extract_all({_plain('text')}, '([0-9]+(?:[.][0-9]+)+)\\s*条', 1)) as number from {_LAST['evidence']} where text is not null")
+@_query("x13_references")
 def x13(spark, sf_dir):
     """Clauses, sections, tables and figures that evidence refers to, with repeats."""
     return references(_evidence(spark, sf_dir)).select("id", "kind", "number", "end_number", "external")
 
 
-@_query("r6_resolved", f"""with r as (select distinct id, document_id, number from (select id, document_id, unnest(regexp_extract_all({_plain('text')}, '([0-9]+(?:[.][0-9]+)+)\\s*条', 1)) as number from {_LAST['evidence']} where text is not null)),
-h as (select document_id, id as target_id, regexp_extract({_plain('text')}, '^\\s*([0-9]+(?:[.][0-9]+)+)\\s', 1) as number from {_LAST['source_unit']} where kind in ('heading', 'clause')),
-own as (select r.id, r.number, count(h.target_id) as n, min(h.target_id) as target_id from r left join h on h.document_id = r.document_id and h.number = r.number group by r.id, r.number),
-kids as (select r.id, r.number, count(h.target_id) as n from r join h on h.document_id = r.document_id and starts_with(h.number, r.number || '.') group by r.id, r.number)
-select own.id, own.number, case when own.n = 1 then 'resolved' when own.n > 1 then 'ambiguous' when coalesce(kids.n, 0) > 0 then 'children' else 'missing' end as status, case when own.n = 1 then own.target_id end as target_id from own left join kids using (id, number)""")
+@_query("r6_resolved")
 def r6(spark, sf_dir):
     """References of evidence resolved to numbered units of their document."""
     return resolve_references(references(_evidence(spark, sf_dir)), numbered(latest(table(spark, sf_dir, "source_unit"))))

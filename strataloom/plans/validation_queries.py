@@ -174,9 +174,7 @@ def x23(spark, sf_dir):
     return s.groupBy("id").agg(F.sort_array(F.collect_set(F.coalesce("kept", "evidence_id"))).alias("evidence_ids"), F.count_if(F.col("kept") != F.col("evidence_id")).alias("rewritten"))
 
 
-@_query("r7_reference_edges", f"""with r as (select distinct id, document_id, unnest(regexp_extract_all(text, '([0-9]+(?:[.][0-9]+)+)\\s*条', 1)) as number from {_LAST['evidence']} where text is not null),
-h as (select document_id, id as unit_id, {_NO} as number from {_LAST['source_unit']} where text is not null), m as (select distinct evidence_id, source_id from {_MEM})
-select distinct r.id as source, m.evidence_id as target, r.number from r join h on h.document_id = r.document_id and h.number = r.number join m on m.source_id = h.unit_id where m.evidence_id <> r.id""")
+@_query("r7_reference_edges")
 def r7(spark, sf_dir):
     """Reference edges from evidence to the evidence that holds the units a reference resolves to."""
     found = resolve_references(references(_latest(spark, sf_dir, "evidence")), numbered(_latest(spark, sf_dir, "source_unit"))).where("status = 'resolved'")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -36,7 +37,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         named = tempfile.mkdtemp(prefix="strataloom-checkpoint-")
     context.setCheckpointDir(named)
@@ -64,6 +65,12 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``durable`` made in this session; for long sessions, once no result of earlier plans is read any more."""
+    path = f"{checkpoint_dir(spark)}/{_PREFIX}{spark.sparkContext.applicationId}"
+    _remove(spark, path)
+
+
 _PREFIX = "strataloom-tables-"
 
 
