@@ -43,8 +43,11 @@ def j14(spark, sf_dir):
     return overlaps(boxes(_latest(spark, sf_dir, "source_unit")), 0.2).withColumn("share", F.round("share", 6))
 
 
-@_query("s14_lines", f"""select document_id, page, line, count(*) as boxes, min(x0) as x0 from (select *, sum(fresh) over (partition by document_id, page order by y0, y1, x0, id) as line from (select *, case when max(y1) over (partition by document_id, page order by y0, y1, x0, id rows between unbounded preceding and 1 preceding) is null
-or y0 > max(y1) over (partition by document_id, page order by y0, y1, x0, id rows between unbounded preceding and 1 preceding) then 1 else 0 end as fresh from {_BOX})) group by document_id, page, line""")
+_ABOVE = "max(y1) over (partition by document_id, page order by y0, y1, x0, id rows between unbounded preceding and 1 preceding)"
+_LINES = f"(select *, sum(fresh) over (partition by document_id, page order by y0, y1, x0, id) as line from (select *, case when {_ABOVE} is null or y0 > {_ABOVE} then 1 else 0 end as fresh from {_BOX}))"
+
+
+@_query("s14_lines", f"select document_id, page, line, count(*) as boxes, min(x0) as x0 from {_LINES} group by document_id, page, line")
 def s14(spark, sf_dir):
     """Printed lines of every page: boxes that overlap in height, directly or through others."""
     return lines(boxes(_latest(spark, sf_dir, "source_unit"))).groupBy("document_id", "page", "line").agg(F.count("*").alias("boxes"), F.min("x0").alias("x0"))
