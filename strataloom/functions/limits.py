@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from decimal import Decimal
-from functools import lru_cache
 from typing import NamedTuple
 
-from strataloom.functions.quantities import SPELLINGS, plain, read_quantities, to_common, units
+from strataloom.functions.quantities import plain, read_quantities, to_common, units, usual
 from strataloom.functions.text import LIMIT_WORDS
 
 # Further wording of limits; without it, the word inside (高于 in 不高于) would turn the comparison round.
@@ -35,22 +33,12 @@ class Limit(NamedTuple):
     parameter: str | None
 
 
-@lru_cache(maxsize=1)
-def _usual() -> dict[tuple[str, str], str]:
-    return {(d, f): unicodedata.normalize("NFKC", names.split("|")[0]) for d, by_factor in SPELLINGS.items() for f, names in by_factor.items()}
-
-
-def usual_unit(unit: str) -> str:
-    """The first spelling that the table gives for a unit; unknown units stay as they are."""
-    return _usual()[units()[unit]] if unit in units() else unit
-
-
 def _made(op: str | None, value: Decimal, unit: str | None, tag: str | None, parameter: str | None) -> Limit:
     dimension = common = None
     if unit in units():
         dimension, exact = to_common(value, unit)
         common = float(exact)
-    return Limit(op, float(value), unit and usual_unit(unit), dimension, common, tag, parameter and re.sub(r"\s+", "", parameter))
+    return Limit(op, float(value), unit and usual(unit), dimension, common, tag, parameter and re.sub(r"\s+", "", parameter))
 
 
 def read_limits(text: str) -> tuple[list[Limit], list[Limit]]:

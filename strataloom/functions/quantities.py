@@ -132,6 +132,16 @@ def units() -> dict[str, tuple[str, str]]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _usual() -> dict[tuple[str, str], str]:
+    return {(d, f): unicodedata.normalize("NFKC", names.split("|")[0]) for d, by_factor in SPELLINGS.items() for f, names in by_factor.items()}
+
+
+def usual(unit: str) -> str:
+    """The first spelling that the table gives for a unit; unknown units stay as they are."""
+    return _usual()[units()[unit]] if unit in units() else unit
+
+
 def to_common(value: Decimal, unit: str) -> tuple[str, Decimal]:
     """Dimension and value in its common unit."""
     dimension, factor = units()[unit]
@@ -157,7 +167,7 @@ def _patterns() -> dict[str, re.Pattern]:
     letters = r"A-Za-zÀ-ÖØ-öø-ɏͰ-ϿЀ-ӿ"
     names = sorted(units(), key=len, reverse=True)
     spaced = "|".join(re.escape(n).replace(r"\ ", r"\s+") for n in names)
-    guard = rf"(?:(?<=[{letters}])(?![{letters}\d_^²³]|\s?[/·*^]\s?[{letters}一-鿿])|(?<=[^{letters}])(?![/·^]))"
+    guard = rf"(?:(?<=[{letters}])(?![{letters}\d_^²³]|\s?[/·*^]\s?[{letters}一-鿿]|[-−]\d(?!\d|[.,]\d|\s?[{letters}一-鿿]))|(?<=[^{letters}])(?![/·^]))"
     unit = rf"(?:{spaced}){guard}(?!方|方米|/秒|/s\b|每秒)"
     exp = r"(?:[eE][+-]?\d+(?![\d.])|\s?[×xX*·]\s?10\^[+-]?\d+)?"
     point = rf"(?:\d{{1,3}}(?:,\d{{3}})+(?![\d])(?:\.\d+)?|\d{{1,3}}(?: \d{{3}})+(?!\d)(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+){exp}"

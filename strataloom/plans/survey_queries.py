@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import compact, normalized
+from strataloom.functions.truth import compile_condition, state
+from strataloom.operators.assembly import joined
 from strataloom.operators.binding import resolved_labels
+from strataloom.operators.clause_limits import bound_members, checked_facts, content_runs, evidence_limits
 from strataloom.operators.evidence_groups import BRACKETED, HARD_END, LEAD_IN, PLAIN, WRAPPED, closed_selection, members_in_order, sliced, text_groups
 from strataloom.operators.hierarchy import class_links
 from strataloom.operators.layout import boxes, header_rows, lines
 from strataloom.operators.limits import limits_and_facts
 from strataloom.operators.names import contained_names
+from strataloom.operators.patches import patched
 from strataloom.operators.records import latest
-from strataloom.operators.references import references
+from strataloom.operators.references import numbered, references, resolve_references
 from strataloom.operators.skew import salted_join
 from strataloom.operators.sync import sync_actions
 from strataloom.operators.units import read_texts, style_weights
@@ -183,9 +187,13 @@ found as (select form, class_id, 'exact' as method from ex union all select form
 select l.label, found.class_id, case when found.class_id is not null then method end as method from l left join found using (form) where l.form <> ''""")
 def g9_resolved(spark, sf_dir):
     """Labels of statements resolved to a class: exactly, as object and kind, or by the most specific name they end with."""
+    return _resolved(spark, sf_dir, durable(_closure(spark, sf_dir)))
+
+
+def _resolved(spark, sf_dir, above: DataFrame) -> DataFrame:
     own, tops = table(spark, sf_dir, "domain_classes"), table(spark, sf_dir, "business_classes")
     names = own.select(F.col("id").alias("class_id"), F.col("label").alias("name")).union(own.select("id", F.explode("aliases"))).union(tops.select("id", "label"))
-    return resolved_labels(_entities(spark, sf_dir).select("label"), names, durable(_closure(spark, sf_dir)))
+    return resolved_labels(_entities(spark, sf_dir).select("label"), names, above)
 
 
 @_query("f14_shape_violations", f"""with {_CLOSURE}, tops as (select id from business_classes where parent is null),
@@ -388,3 +396,146 @@ def s9(spark, sf_dir):
 def label_forms(spark, sf_dir):
     """Comparison forms of labels and how many labels share each."""
     return _entities(spark, sf_dir).where("label is not null").groupBy(normalized(F.col("label")).alias("form")).agg(F.countDistinct("label").alias("labels"))
+
+
+@_query("i1_evidence_keys", f"""select id, sha256(concat_ws(chr(1), coalesce(document_id, chr(2)), coalesce(kind, chr(2)), coalesce(array_to_string(list_sort(list_transform(members, lambda m: coalesce(m.source_id, '') || '/' || coalesce(m.role, '') || '/' || coalesce(cast(m.locator.physical_page as varchar), '') || '/' || coalesce(array_to_string(m.locator.char_range, '-'), ''))), ';'), chr(2)), coalesce(context.table_id, chr(2)))) as print from {_LAST['evidence']}""")
+def i1_evidence(spark, sf_dir):
+    """Logical key of every evidence: document, kind, members with role, page and character range in any order, table."""
+    none, empty = F.lit("\u0002"), lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    place = lambda m: F.concat_ws("/", empty(m["source_id"]), empty(m["role"]), empty(m["locator"]["physical_page"]), empty(F.array_join(m["locator"]["char_range"], "-")))
+    members = F.coalesce(F.array_join(F.sort_array(F.transform("members", place)), ";"), none)
+    e = _latest(spark, sf_dir, "evidence")
+    return e.select("id", F.sha2(F.concat_ws("\u0001", F.coalesce("document_id", none), F.coalesce("kind", none), members, F.coalesce("context.table_id", none)), 256).alias("print"))
+
+
+@_query("i1_statement_keys", f"""select id, sha256(concat_ws(chr(1), coalesce(document_id, chr(2)), coalesce(type, chr(2)), coalesce(array_to_string(list_sort(list_transform(supports, lambda s: coalesce(s.evidence_id, '') || ':' || coalesce(array_to_string(list_sort(s.member_keys), ','), ''))), ';'), chr(2)), trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')))) as print from {_LAST['statements']}""")
+def i1_statements(spark, sf_dir):
+    """Logical key of every statement: document, type, supports in any order, text with white space collapsed."""
+    none = F.lit("\u0002")
+    support = lambda s: F.concat(F.coalesce(s["evidence_id"], F.lit("")), F.lit(":"), F.coalesce(F.array_join(F.sort_array(s["member_keys"]), ","), F.lit("")))
+    supports = F.coalesce(F.array_join(F.sort_array(F.transform("supports", support)), ";"), none)
+    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    return _latest(spark, sf_dir, "statements").select("id", F.sha2(F.concat_ws("\u0001", F.coalesce("document_id", none), F.coalesce("type", none), supports, text), 256).alias("print"))
+
+
+@_query("r13_clause_limits")
+def r13(spark, sf_dir):
+    """Clauses of evidence that state exactly one limit without condition, with its value in the common unit."""
+    return evidence_limits(durable(_runs(spark, sf_dir))).drop("value", "run")
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    u = _latest(spark, sf_dir, "source_unit").select(F.col("id").alias("source_id"), "text", "quality")
+    return content_runs(salted_join(_members(spark, sf_dir), u, ["source_id"], F.col("member_key"), "left"))
+
+
+@_query("r13_checked_facts")
+def r13_checked(spark, sf_dir):
+    """Measured values of statements against the only clause of an evidence that limits their parameter of their tag."""
+    facts = limits_and_facts(_latest(spark, sf_dir, "statements")).where("op is null and dimension is not null")
+    return checked_facts(evidence_limits(durable(_runs(spark, sf_dir))), facts)
+
+
+@_query("x20_content_runs", f"""with q as (select m.evidence_id, m.member_key, m.ord, m.role, u.text, u.quality from {_MEM} m left join {_LAST['source_unit']} u on u.id = m.source_id),
+b as (select *, coalesce(role = 'content' and coalesce(quality, '') not in ('uncertain', 'needs_review', 'unreadable') and text is not null, false) as usable from q),
+c as (select *, lag(case when usable then text end) over (partition by evidence_id order by ord, member_key) as before from b),
+r as (select *, sum(case when before is null or regexp_matches(before, '[。；;：:]\\s*$') or coalesce(regexp_matches(text, '^\\s*[0-9]+([.][0-9]+)*\\s+'), false) then 1 else 0 end) over (partition by evidence_id order by ord, member_key) as run from c)
+select evidence_id, run, count(*) as members, string_agg(text, '' order by ord, member_key) as text from r where usable group by evidence_id, run""")
+def x20(spark, sf_dir):
+    """Text of the runs of readable content members, in which an excerpt must lie."""
+    return _runs(spark, sf_dir).select("evidence_id", "run", F.size("member_keys").cast("bigint").alias("members"), "text")
+
+
+@_query("x19_bound_members")
+def x19(spark, sf_dir):
+    """The only place of every member's text in the text of its evidence."""
+    e = _latest(spark, sf_dir, "evidence").select(F.col("id").alias("evidence_id"), F.col("text").alias("whole"))
+    return bound_members(_member_texts(spark, sf_dir).join(e, "evidence_id"))
+
+
+@_query("v14_completeness", f"""with m as (select distinct evidence_id, member_key from {_MEM}),
+s as (select id, count(evidence_id) as named, count(*) filter (where evidence_id is null) as unnamed, count(*) as n from {_SUP} group by id),
+k as (select x.id, count(*) filter (where m.member_key is null) as unread from (select id, evidence_id, unnest(member_keys) as member_key from {_SUP} where evidence_id is not null) x left join m on m.evidence_id = x.evidence_id and m.member_key = x.member_key group by x.id)
+select t.id, case when t.text is null or t.supports is null or t.source_anchors is null then 'unknown' when coalesce(s.n, 0) = 0 or s.unnamed > 0 or len(t.source_anchors) = 0 or coalesce(k.unread, 0) > 0 then 'incomplete' else 'complete' end as verdict from {_LAST['statements']} t left join s using (id) left join k using (id)""")
+def v14(spark, sf_dir):
+    """Whether every statement has a text, anchors and supports all of whose members exist; unknown where a part is null."""
+    s = _latest(spark, sf_dir, "statements").select("id", "text", "supports", F.size("source_anchors").alias("anchors"), F.col("source_anchors").isNull().alias("bare"))
+    unread = h3(spark, sf_dir).groupBy("id").agg(F.sum("unread").alias("unread"))
+    df = s.join(unread, "id", "left")
+    unnamed = F.exists("supports", lambda x: x["evidence_id"].isNull())
+    verdict = F.when(F.col("text").isNull() | F.col("supports").isNull() | F.col("bare"), "unknown").when((F.size("supports") == 0) | unnamed | (F.col("anchors") == 0) | (F.coalesce("unread", F.lit(0)) > 0), "incomplete")
+    return df.select("id", verdict.otherwise("complete").alias("verdict"))
+
+
+_BEFORE = f"(select id, document_id, text from (select *, row_number() over (partition by id order by ingested_at desc, created_at desc) as rn from statements where id is not null and ingested_at < {_CUT}) where rn = 1)"
+
+
+@_query("v9_patched", f"""with c as {_BEFORE}, l as {_LAST['statements']},
+o as (select case when c.id is null then 'add' else 'replace' end as op, l.id, l.document_id, l.text from l left join c on c.id = l.id),
+a as (select c.id, c.document_id as owner, case when o.op = 'replace' then o.text else c.text end as text from c left join o on o.id = c.id and o.op = 'replace' and o.document_id is not distinct from c.document_id),
+f as (select o.id, o.document_id as owner, o.text from o where op = 'add' and not exists (select 1 from a where a.owner = o.document_id and regexp_replace(coalesce(a.text, ''), '\\s+', '', 'g') = regexp_replace(coalesce(o.text, ''), '\\s+', '', 'g')))
+select id, owner, md5(coalesce(text, '')) as print from a union all select id, owner, md5(coalesce(text, '')) from f""")
+def v9(spark, sf_dir):
+    """Statements of July 2024 patched by the later ones: replaced by the same document, added unless their text is there."""
+    rows = table(spark, sf_dir, "statements")
+    current = latest(rows.where(F.col("ingested_at") < F.lit("2024-07-01T00:00:00Z").cast("timestamp"))).select("id", F.col("document_id").alias("owner"), "text")
+    now = latest(rows).join(current.select("id", F.lit("replace").alias("op")), "id", "left")
+    ops = now.select(F.coalesce("op", F.lit("add")).alias("op"), F.when(F.col("op").isNotNull(), F.col("id")).alias("target"), F.col("document_id").alias("owner"), "text", F.when(F.col("op").isNull(), F.col("id")).alias("new_id"))
+    after, _ = patched(durable(current), durable(ops))
+    return after.select("id", "owner", F.md5(F.coalesce("text", F.lit(""))).alias("print"))
+
+
+@_query("r9_made_evidence")
+def r9(spark, sf_dir):
+    """Evidence made anew from the units of every document: first unit, clause number, members, pages and joined text."""
+    g = text_groups(_units(spark, sf_dir))
+    return g.select("document_id", F.element_at("source_ids", 1).alias("first_id"), "clause", F.size("parts").alias("members"), F.array_min("pages").alias("page"), joined(F.col("parts")).alias("text"))
+
+
+@_query("r15_candidate_classes", f"with {_CLOSURE}, g as ({SQL['g9_resolved_labels']}), c as (select label, class_id from g where class_id is not null union select g.label, r.anc from g join reach r on r.node = g.class_id) select label, count(*) as classes, min(class_id) as first_class from c group by label")
+def r15(spark, sf_dir):
+    """Classes that a label may name: the one it resolves to and all above it."""
+    pairs = durable(_closure(spark, sf_dir))
+    own = durable(_resolved(spark, sf_dir, pairs).where("class_id is not null").select("label", "class_id"))
+    above = own.join(pairs.select(F.col("node").alias("class_id"), "anc"), "class_id").select("label", F.col("anc").alias("class_id"))
+    return own.union(above).distinct().groupBy("label").agg(F.count("*").alias("classes"), F.min("class_id").alias("first_class"))
+
+
+@_query("g8_isolated_classes", f"""with d as (select distinct id from domain_classes where id is not null), k as (select distinct id as child, parent from domain_classes where parent is not null union select id, p from (select id, unnest(additional_parents) as p from domain_classes) where p is not null),
+known as (select id from d union select id from business_classes), e as (select child, parent from k where parent in (select id from known))
+select id, id not in (select child from e) and id not in (select parent from e) and id not in (select class_id from {_ENT} where class_id is not null) as isolated from d""")
+def g8(spark, sf_dir):
+    """Whether a class has no registered parent, child or statement, so that a synchronisation of the registry deletes it."""
+    _, links = class_links(table(spark, sf_dir, "domain_classes"), table(spark, sf_dir, "business_classes"))
+    used = links.select(F.col("child").alias("id")).union(links.select("parent")).union(_entities(spark, sf_dir).where("class_id is not null").select("class_id"))
+    own = table(spark, sf_dir, "domain_classes").where("id is not null").select("id").distinct()
+    return own.join(used.distinct().withColumn("used", F.lit(True)), "id", "left").select("id", F.col("used").isNull().alias("isolated"))
+
+
+@_query("g12_followed_references")
+def g12(spark, sf_dir):
+    """References of evidence with what following them gives: the evidence that holds the target, itself, or why none."""
+    e = _latest(spark, sf_dir, "evidence")
+    told = durable(resolve_references(references(e), numbered(_latest(spark, sf_dir, "source_unit"))))
+    target = told.where("status = 'resolved'").select("id", "kind", "number", "end_number", F.explode("target_ids").alias("source_id"))
+    holds = _members(spark, sf_dir).where("source_id is not null").groupBy("source_id").agg(F.min("evidence_id").alias("target"), F.count_distinct("evidence_id").alias("n"))
+    met = target.join(holds, "source_id", "left").groupBy("id", "kind", "number", "end_number").agg(F.count("n").alias("held"), F.count("*").alias("asked"), F.max(F.col("target").eqNullSafe(F.col("id"))).alias("own"), F.max("n").alias("most"))
+    keys = ["id", "kind", "number", "end_number"]
+    met = met.withColumnsRenamed({c: f"_{c}" for c in keys})
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    df = told.join(met, on, "left").select(*keys, "status", "held", "asked", "own", "most")
+    state_ = F.when(F.col("status") != "resolved", F.col("status")).when(F.col("own"), "self").when(F.col("held") < F.col("asked"), "deferred").when(F.col("most") > 1, "several evidence").otherwise("followed")
+    return df.select("id", "kind", "number", "end_number", state_.alias("state"))
+
+
+_WANTED = {"op": "and", "items": [{"op": "le", "parameter": "price", "value": 150000, "unit": "mm", "location": "1-URGENT"}, {"op": "not", "item": {"op": "eq", "parameter": "state", "value": "F", "vocabulary": ["F", "O"]}}]}
+
+
+@_query("f3_order_states", """with t as (select o_orderkey, case when o_orderstatus in ('F', 'O') and o_orderpriority = '1-URGENT' then o_totalprice * case when o_orderstatus = 'F' then 1 else 10 end <= 150000 end as a, case when o_orderstatus = 'F' then false when o_orderstatus = 'O' then true end as b from orders)
+select o_orderkey, case when a and b then 'applicable' when not a or not b then 'not_applicable' else 'unknown' end as state from t""")
+def f3(spark, sf_dir):
+    """A three-valued condition over the facts of every order: price with unit and place, and a word of a vocabulary."""
+    o = table(spark, sf_dir, "orders")
+    unit = F.when(F.col("o_orderstatus") == "F", "mm").when(F.col("o_orderstatus") == "O", "cm")
+    facts = {"price": {"value": F.col("o_totalprice"), "unit": unit, "location": F.col("o_orderpriority")}, "state": {"word": F.col("o_orderstatus")}}
+    return o.select("o_orderkey", state(compile_condition(_WANTED, facts)).alias("state"))
