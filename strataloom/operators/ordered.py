@@ -44,3 +44,20 @@ def last_before(df: DataFrame, group: str, place: str, order: list[Column], valu
     per = per.select(group, "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
     out = _joined(rows.withColumn("_own", F.last("_value", ignorenulls=True).over(w)), per, group)
     return out.withColumn(name, F.coalesce("_own", "_carry")).drop("_bucket", "_value", "_own", "_carry")
+
+
+def ranked(df: DataFrame, group: str, order: list[Column], buckets: list[Column], name: str) -> DataFrame:
+    """``df`` with the place (from 1) of each row within its group in ``order``, which must be total.
+
+    ``buckets`` are leading parts of the order (its first column, the first characters of a key): rows are numbered
+    within a bucket, and the buckets of a group are summed on one row each.
+    """
+    cut = F.struct(*(b.alias(f"b{k}") for k, b in enumerate(buckets)))
+    rows = df.withColumn("_bucket", cut)
+    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
+    per = per.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carry"))
+    own = rows.withColumn("_own", F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(*order)))
+    right = per.withColumnsRenamed({group: "_g", "_bucket": "_b"})
+    out = own.join(right, F.col(group).eqNullSafe(F.col("_g")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    return out.withColumn(name, (F.col("_own") + F.col("_carry")).cast("bigint")).drop("_bucket", "_own", "_carry", "_g", "_b")

@@ -16,14 +16,22 @@ MAX_TERMS, MAX_TOKENS = 24, 96
 K1, B = 1.2, 0.75
 
 
-def inverted_index(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """``token, key, tf, length``: occurrences of every search token; null and empty texts have none."""
+def _tokenised(df: DataFrame, key: str, text: str) -> DataFrame:
     whole = folded(F.coalesce(F.col(text), F.lit("")))
     tokens = df.select(key, whole.alias("_text"), search_tokens(F.col(text)).alias("_tokens")).where(F.size("_tokens") > 0)
-    counted = tokens.select(key, F.size("_tokens").alias("length"), F.explode("_tokens").alias("token"), "_text")
+    return tokens.withColumn("length", F.size("_tokens"))
+
+
+def _postings(tokens: DataFrame, key: str) -> DataFrame:
+    counted = tokens.select(key, "length", F.explode("_tokens").alias("token"), "_text")
     return counted.select("token", key, ((F.length("_text") - F.length(F.replace("_text", "token", F.lit("")))) / F.length("token")).cast("int").alias("tf"), "length")
 
 
+def inverted_index(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """``token, key, tf, length``: occurrences of every search token; null and empty texts have none."""
+    return _postings(_tokenised(df, key, text), key)
+
+
 def query_tokens(spark, query: str, terms: Sequence[str] | None = None) -> list[list[str]]:
     """Token groups of a query: one per distinct non-blank term (at most 24, of at most 96 tokens), else the query itself."""
     if not isinstance(query, str) or not query.strip():
@@ -40,14 +48,14 @@ def search(df: DataFrame, groups: Sequence[Sequence[str]], match: str = "all", k
     """``key, hits, score`` of the rows in which all (any) groups occur with all their tokens.
 
     hits counts the groups found. score is BM25 over the distinct tokens of the query with k1 1.2 and b 0.75, lengths
-    in distinct tokens. Only the postings of the query's tokens are grouped.
+    in distinct tokens; each row of ``df`` counts as a text. Only the postings of the query's tokens are formed.
     """
     if match not in ("all", "any"):
         raise ValueError("match is all or any")
-    index = inverted_index(df, key, text)
-    tokens = sorted({t for g in groups for t in g})
-    sizes = index.select(key, "length").distinct().agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
-    posting = index.where(F.col("token").isin(tokens))
+    texts = _tokenised(df, key, text)
+    tokens = F.array(*map(F.lit, sorted({t for g in groups for t in g})))
+    sizes = texts.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    posting = _postings(texts.where(F.arrays_overlap("_tokens", tokens)).withColumn("_tokens", F.array_intersect("_tokens", tokens)), key)
     frequency = posting.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))

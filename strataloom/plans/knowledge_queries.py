@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.operators.components import components
-from strataloom.operators.ordered import last_before, running_sum
+from strataloom.operators.ordered import last_before, ranked, running_sum
 from strataloom.operators.records import change_report, latest, merged
+from strataloom.operators.skew import salted_join
 from strataloom.operators.spans import nearest, sections, spans_of
 from strataloom.session import durable, table
 
@@ -335,8 +336,8 @@ def w10(spark, sf_dir):
 @_query("w11_fair_order", f"""select evidence_id, id, row_number() over (partition by evidence_id order by n_supports desc, id) as turn from (select id, evidence_id, count(*) over (partition by id) as n_supports from (select distinct id, evidence_id from {_SUP} where evidence_id is not null))""")
 def w11(spark, sf_dir):
     """Turn of every statement within its evidence, those with most supports first."""
-    df = _supports(spark, sf_dir).where("evidence_id is not null").select("id", "evidence_id").distinct().withColumn("n", F.count("*").over(Window.partitionBy("id")))
-    return df.select("evidence_id", "id", F.row_number().over(Window.partitionBy("evidence_id").orderBy(F.desc("n"), "id")).cast("bigint").alias("turn"))
+    df = _supports(spark, sf_dir).where("evidence_id is not null").select("id", "evidence_id").distinct().withColumn("n", -F.count("*").over(Window.partitionBy("id")))
+    return ranked(df, "evidence_id", [F.col("n"), F.col("id")], [F.col("n"), F.substring("id", 1, 12)], "turn").select("evidence_id", "id", "turn")
 
 
 @_query("g4_navigate", f"""select e.class_id, e.id as statement_id, m.source_id, count(*) as paths, max(case when e.role = 'subject' then 2 when e.role = 'object' then 1 else 0 end) as path_rank
@@ -347,7 +348,10 @@ def g4(spark, sf_dir):
     s = _supports(spark, sf_dir).where("evidence_id is not null").select("id", "evidence_id").distinct()
     m = _members(spark, sf_dir).where("source_id is not null").select("evidence_id", "source_id").distinct()
     rank = F.when(F.col("role") == "subject", 2).when(F.col("role") == "object", 1).otherwise(0)
-    return e.join(s, "id").join(m, "evidence_id").groupBy("class_id", F.col("id").alias("statement_id"), "source_id").agg(F.count("*").alias("paths"), F.max(rank).alias("path_rank"))
+    # Both ends are counted before they meet, so no path is formed one by one.
+    ways = salted_join(s, m, ["evidence_id"], F.col("id")).groupBy("id", "source_id").agg(F.count("*").alias("ways"))
+    own = e.groupBy("id", "class_id").agg(F.count("*").alias("roles"), F.max(rank).alias("path_rank"))
+    return own.join(ways, "id").select("class_id", F.col("id").alias("statement_id"), "source_id", (F.col("roles") * F.col("ways")).alias("paths"), "path_rank")
 
 
 @_query("l1_ranked_page", f"""select class_id, n_statements from (select class_id, count(distinct id) as n_statements from {_ENT} where class_id is not null group by class_id) order by n_statements desc, class_id limit 40 offset 40""")
@@ -378,8 +382,9 @@ def u3(spark, sf_dir):
 @_query("v6_handles", f"""select id as statement_id, evidence_id, dense_rank() over (partition by document_id order by evidence_id) as handle from (select distinct document_id, id, evidence_id from {_SUP} where evidence_id is not null)""")
 def v6(spark, sf_dir):
     """Short stable handles for the evidence used in a document."""
-    df = _supports(spark, sf_dir).where("evidence_id is not null").select("document_id", "id", "evidence_id").distinct()
-    return df.select(F.col("id").alias("statement_id"), "evidence_id", F.dense_rank().over(Window.partitionBy("document_id").orderBy("evidence_id")).cast("bigint").alias("handle"))
+    df = durable(_supports(spark, sf_dir).where("evidence_id is not null").select("document_id", "id", "evidence_id").distinct())
+    handles = ranked(df.select("document_id", "evidence_id").distinct(), "document_id", [F.col("evidence_id")], [F.substring("evidence_id", 1, 12)], "handle")
+    return salted_join(df, handles, ["document_id", "evidence_id"], F.col("id")).select(F.col("id").alias("statement_id"), "evidence_id", "handle")
 
 
 @_query("v2_coverage", f"""with u as (select distinct evidence_id, member_key from (select evidence_id, unnest(member_keys) as member_key from {_SUP} where evidence_id is not null))

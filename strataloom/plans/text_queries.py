@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import clause_number, fingerprint, normalized, number_path, search_tokens
 from strataloom.operators.limits import limits_and_facts
 from strataloom.operators.names import contained_names
+from strataloom.operators.ordered import ranked
 from strataloom.operators.records import latest
 from strataloom.operators.references import numbered, references, resolve_references
 from strataloom.operators.retrieval import inverted_index, page, search
@@ -105,7 +106,8 @@ from (select id, document_id, regexp_extract({_plain('text')}, '^\\s*([0-9]+(?:[
 def l5(spark, sf_dir):
     """Numbered units of a document in the natural order of their numbers."""
     df = latest(table(spark, sf_dir, "source_unit")).select("id", "document_id", clause_number(F.col("text")).alias("number")).where("number is not null")
-    return df.select("id", "document_id", F.row_number().over(Window.partitionBy("document_id").orderBy(number_path(F.col("number")), "id")).cast("bigint").alias("place"))
+    path = number_path(F.col("number"))
+    return ranked(df, "document_id", [path, F.col("id")], [F.element_at(path, 1), F.element_at(path, 2)], "place").select("id", "document_id", "place")
 
 
 @_query("x21_limits")

@@ -9,6 +9,7 @@ from strataloom.functions.text import fingerprint
 from strataloom.functions.truth import kleene_all, state
 from strataloom.operators.records import latest
 from strataloom.operators.references import numbered, references, resolve_references
+from strataloom.operators.skew import salted_join
 from strataloom.plans.knowledge_queries import _ENT, _LAST, _MEM, _SUP, _entities, _members, _supports
 from strataloom.session import table
 
@@ -150,7 +151,7 @@ def u4(spark, sf_dir):
     """Requirements and inspections that share three or more members."""
     b = _supports(spark, sf_dir).where("evidence_id is not null").select("id", "type", "evidence_id", F.explode("member_keys").alias("k")).distinct()
     left, right = b.where("type = 'requirement'").select("evidence_id", "k", F.col("id").alias("id_a")), b.where("type = 'inspection'").select("evidence_id", "k", F.col("id").alias("id_b"))
-    return left.join(right, ["evidence_id", "k"]).groupBy("id_a", "id_b").agg(F.count("*").alias("common")).where("common >= 3")
+    return salted_join(left, right, ["evidence_id", "k"], F.col("id_a")).groupBy("id_a", "id_b").agg(F.count("*").alias("common")).where("common >= 3")
 
 
 @_query("x16_slices", f"select id, case when hi > length(text) or lo > hi or lo < 0 then 'out of range' else 'fits' end as state, count(*) as n from (select id, text, locator.char_range[1] as lo, locator.char_range[2] as hi from {_LAST['source_unit']} where len(locator.char_range) = 2 and text is not null) group by id, state")
