@@ -104,3 +104,25 @@ def closed_selection(selected: DataFrame, members: DataFrame, rounds: int = 4) -
     for _ in range(rounds):
         out = out.union(out.join(links, ["evidence_id", "member_key"]).select("sel_id", "evidence_id", F.col("other").alias("member_key"))).distinct()
     return out
+
+
+# Fixed value: a clause that says what its chapter, section, document or standard applies to.
+SCOPE = r"^\s*([0-9]+(\s*[.]\s*[0-9]+)*\s*)?本(章|节|文件|标准|规范)仅?适用于"
+
+
+def native_scopes(members: DataFrame) -> DataFrame:
+    """``evidence_id, member_key, scope, heading_key`` of content members (``evidence_id, member_key, ord, role, kind, text``)
+    that declare what something applies to.
+
+    scope is section for a chapter or section, else document. A chapter needs a heading of level 1 in the same evidence,
+    a section one of a deeper level; the deepest such heading is named, and without one there is no declaration.
+    """
+    solid = F.regexp_replace(F.translate("text", "　．", " ."), r"\s+", "")
+    said = members.where("role = 'content'").select("evidence_id", "member_key", F.regexp_extract(solid, SCOPE, 3).alias("what")).where("what <> ''")
+    number = F.regexp_extract(F.translate("text", "．", "."), r"^\s*([0-9]+([.][0-9]+)*)", 1)
+    level = F.when(number != "", F.size(F.split(number, "[.]"))).when(F.col("text").rlike(r"^\s*第\s*[0-9一二三四五六七八九十百]+\s*章"), 1)
+    heads = members.where("kind = 'heading'").select("evidence_id", F.col("member_key").alias("head"), level.alias("level")).where("level is not null")
+    met = said.join(heads, "evidence_id", "left").withColumn("fits", F.when(F.col("what") == "章", F.col("level") == 1).when(F.col("what") == "节", F.col("level") > 1).otherwise(F.lit(False)))
+    best = met.groupBy("evidence_id", "member_key", "what").agg(F.max(F.when(F.col("fits"), F.struct("level", "head"))).alias("h"))
+    scope = F.when(F.col("what").isin("章", "节"), "section").otherwise("document")
+    return best.select("evidence_id", "member_key", scope.alias("scope"), F.col("h.head").alias("heading_key")).where("scope = 'document' or heading_key is not null")

@@ -12,12 +12,13 @@ from strataloom.operators.binding import resolved_labels
 from strataloom.operators.clause_limits import bound_members, checked_facts, content_runs, evidence_limits
 from strataloom.operators.evidence_groups import BRACKETED, HARD_END, LEAD_IN, PLAIN, WRAPPED, closed_selection, members_in_order, sliced, text_groups
 from strataloom.operators.hierarchy import class_links
-from strataloom.operators.layout import boxes, header_rows, lines
+from strataloom.operators.layout import boxes, header_rows, lines, row_groups
 from strataloom.operators.limits import limits_and_facts
 from strataloom.operators.names import contained_names
 from strataloom.operators.patches import patched
 from strataloom.operators.records import latest
 from strataloom.operators.references import numbered, references, resolve_references
+from strataloom.operators.retrieval import page, query_tokens, search
 from strataloom.operators.skew import salted_join
 from strataloom.operators.sync import sync_actions
 from strataloom.operators.units import read_texts, style_weights
@@ -539,3 +540,47 @@ def f3(spark, sf_dir):
     unit = F.when(F.col("o_orderstatus") == "F", "mm").when(F.col("o_orderstatus") == "O", "cm")
     facts = {"price": {"value": F.col("o_totalprice"), "unit": unit, "location": F.col("o_orderpriority")}, "state": {"word": F.col("o_orderstatus")}}
     return o.select("o_orderkey", state(compile_condition(_WANTED, facts)).alias("state"))
+
+
+@_query("w9_row_groups", f"""with b as {_BOX}, c as (select * from b where kind = 'cell'), t as (select document_id || '/' || page as table_id, y0, max(y1) as y1 from c group by document_id, page, y0),
+r as (select table_id, y0, y1, dense_rank() over (partition by table_id order by y0) - 1 as row_index from t),
+s as (select a.table_id, a.row_index, max(b.row_index) as until from r a join r b on a.table_id = b.table_id and b.y0 >= a.y0 and (b.y0 < a.y1 or b.y0 = a.y0) group by a.table_id, a.row_index),
+g as (select *, case when max(until) over w is null or row_index > max(until) over w then 1 else 0 end as fresh from s window w as (partition by table_id order by row_index rows between unbounded preceding and 1 preceding)),
+h as (select *, sum(fresh) over (partition by table_id order by row_index) as g from g)
+select table_id, min(row_index) as first_row, max(until) as last_row from h group by table_id, g""")
+def w9(spark, sf_dir):
+    """Rows of cells of every page that cells reaching into the next ones hold together."""
+    c = boxes(_latest(spark, sf_dir, "source_unit"), ["cell"]).groupBy(F.concat_ws("/", "document_id", "page").alias("table_id"), "y0").agg(F.max("y1").alias("y1"))
+    r = durable(c.withColumn("row_index", F.dense_rank().over(Window.partitionBy("table_id").orderBy("y0")) - 1))
+    below = r.select("table_id", F.col("y0").alias("at"), F.col("row_index").alias("other"))
+    spans = r.join(below, "table_id").where("at >= y0 and (at < y1 or at = y0)").groupBy("table_id", "row_index").agg((F.max("other") - F.col("row_index") + 1).alias("row_span"))
+    return row_groups(spans)
+
+
+_TERMS = ["焊缝检查", "水室"]
+
+
+@_query("r2_query_groups", "select cast(n as int) as n, token, cast(place as int) as place from (values (0, '焊缝', 0), (0, '缝检', 1), (0, '检查', 2), (1, '水室', 0)) t(n, token, place)")
+def r2(spark, sf_dir):
+    """Token groups of a query of two terms, in order."""
+    groups = query_tokens(spark, " ".join(_TERMS), [*_TERMS, " ", _TERMS[0]])
+    return spark.createDataFrame([(n, token, place) for n, g in enumerate(groups) for place, token in enumerate(g)], "n int, token string, place int")
+
+
+@_query("l3_second_page", f"with l as (select id, text from {_LAST['evidence']} where text is not null), h as (select id, cast(contains(text, '焊缝') as int) + cast(contains(text, '检查') as int) as hits from l) select id, cast(hits as int) as hits from h where hits > 0 order by hits desc, id limit 20 offset 20")
+def l3(spark, sf_dir):
+    """The second page of 20 by phrases found and id, reached by the cursor of the first."""
+    found = search(_latest(spark, sf_dir, "evidence"), [["焊缝"], ["检查"]], "any").select("id", "hits")
+    order, request = [F.desc("hits"), "id"], {"query": ["焊缝", "检查"], "order": "hits"}
+    _, cursor = page(found, order, 20, request)
+    return page(found, order, 20, request, cursor)[0]
+
+
+@_query("h5_upper_classes", f"""with {_CLOSURE}, e as (select distinct id, coalesce(class_id, kind) as class_id from {_ENT} where coalesce(class_id, kind) is not null), tops as (select id from business_classes where parent is null)
+select e.id, e.class_id, min(r.anc) filter (where r.anc in (select id from tops)) as upper, count(distinct r.anc) filter (where r.anc in (select id from tops)) as uppers from e left join reach r on r.node = e.class_id group by e.id, e.class_id""")
+def h5(spark, sf_dir):
+    """Class of every entity (its own, else its kind) with the upper class it leads to."""
+    e = _entities(spark, sf_dir).select("id", F.coalesce("class_id", "kind").alias("class_id")).where("class_id is not null").distinct()
+    tops = table(spark, sf_dir, "business_classes").where("parent is null").select(F.col("id").alias("anc"))
+    up = _closure(spark, sf_dir).join(tops, "anc", "left_semi").groupBy(F.col("node").alias("class_id")).agg(F.min("anc").alias("upper"), F.count_distinct("anc").alias("uppers"))
+    return salted_join(e, up, ["class_id"], F.col("id"), "left").select("id", "class_id", "upper", F.coalesce("uppers", F.lit(0)).alias("uppers"))

@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators.binding import resolved_labels
-from strataloom.operators.evidence_groups import clause_slices, closed_selection, members_in_order, text_groups
+from strataloom.operators import snapshot
+from strataloom.operators.evidence_groups import clause_slices, closed_selection, members_in_order, native_scopes, text_groups
 from strataloom.operators.sync import identities, rewritten, sync_actions
 
 UNIT = "id string, document_id string, kind string, text string, page int, ord int, section string"
@@ -86,3 +88,23 @@ def test_labels_by_suffix(spark):
     got = run(["待安装的低压加热器", "低压加热器外壁", "加热器", "水箱加热器", "全部检查", "大泵", " 水 箱", None, ""])
     assert got == {"待安装的低压加热器": ("LowPressureHeater", "suffix"), "低压加热器外壁": (None, None), "加热器": ("Heater", "exact"), "水箱加热器": ("Heater", "qualified"), "全部检查": (None, None), "大泵": (None, None), " 水 箱": ("Tank", "exact")}
     assert run(["待安装的低压加热器"], [("Tank", "压加热器")]) == {"待安装的低压加热器": (None, None)}
+
+
+def test_native_scopes(spark):
+    rows = [("e", "h1", 0, "section", "heading", "第2章 安装"), ("e", "h2", 1, "section", "heading", "2.1 范围"), ("e", "a", 2, "content", "clause", "2.1.1 本节仅适用于凝汽器。"), ("e", "b", 3, "content", "paragraph", "本 章适用于水箱。"), ("e", "c", 4, "content", "paragraph", "本标准适用于泵。"), ("e", "d", 5, "content", "paragraph", "不适用于泵。"), ("f", "a", 0, "content", "paragraph", "本章适用于水箱。"), ("f", "n", 1, "content", "paragraph", None)]
+    df = spark.createDataFrame(rows, "evidence_id string, member_key string, ord int, role string, kind string, text string")
+    assert {tuple(r) for r in native_scopes(df).collect()} == {("e", "a", "section", "h2"), ("e", "b", "section", "h1"), ("e", "c", "document", None)}
+
+
+def test_snapshots_appear_at_once(spark, tmp_path):
+    root = f"file:{tmp_path}/s"
+    assert snapshot.current(spark, root) is None
+    with pytest.raises(ValueError):
+        snapshot.read(spark, root, "t")
+    one = snapshot.publish({"t": spark.range(3), "u": spark.range(1)}, root)
+    assert snapshot.current(spark, root) == one and snapshot.read(spark, root, "t").count() == 3
+    with pytest.raises(Exception):
+        snapshot.publish({"t": spark.range(9), "u": spark.range(4).selectExpr("raise_error('broken') as x")}, root)
+    assert snapshot.current(spark, root) == one and snapshot.read(spark, root, "t").count() == 3 and len(list((tmp_path / "s" / "data").iterdir())) == 1
+    two = snapshot.publish({"t": spark.range(5)}, root)
+    assert snapshot.current(spark, root) == two and snapshot.read(spark, root, "t").count() == 5
