@@ -10,6 +10,7 @@ from strataloom.functions.truth import compile_condition, state
 from strataloom.operators.assembly import joined
 from strataloom.operators.binding import resolved_labels
 from strataloom.operators.clause_limits import bound_members, checked_facts, content_runs, evidence_limits
+from strataloom.operators.editions import align_editions, signatures
 from strataloom.operators.evidence_groups import BRACKETED, HARD_END, LEAD_IN, PLAIN, WRAPPED, closed_selection, members_in_order, sliced, text_groups
 from strataloom.operators.hierarchy import class_links
 from strataloom.operators.layout import boxes, header_rows, lines, row_groups
@@ -584,3 +585,30 @@ def h5(spark, sf_dir):
     tops = table(spark, sf_dir, "business_classes").where("parent is null").select(F.col("id").alias("anc"))
     up = _closure(spark, sf_dir).join(tops, "anc", "left_semi").groupBy(F.col("node").alias("class_id")).agg(F.min("anc").alias("upper"), F.count_distinct("anc").alias("uppers"))
     return salted_join(e, up, ["class_id"], F.col("id"), "left").select("id", "class_id", "upper", F.coalesce("uppers", F.lit(0)).alias("uppers"))
+
+
+def _signed(rows: str) -> str:
+    return f"""(select anchor, s, min(id) as id, any_value(sources) as sources from (select id, any_value(concat_ws('|', coalesce(kind, ''), section, table_id)) as anchor, bool_or(said is null) as lacks, string_agg(concat_ws('/', coalesce(m.role, ''), said), ';' order by coalesce(m.ord, pos), pos) as s, list(m.source_id order by coalesce(m.ord, pos), pos) as sources
+from (select id, kind, coalesce(context.section, '') as section, coalesce(context.table_id, '') as table_id, unnest(range(len(members))) as pos, unnest(members) as m from {rows}) mm left join us on us.source_id = mm.m.source_id where coalesce(m.role, '') not in ('section_context', 'section') group by id) where not lacks group by anchor, s having count(*) = 1)"""
+
+
+_EARLY = f"(select * from (select *, row_number() over (partition by id order by ingested_at desc, created_at desc) as rn from evidence where id is not null and ingested_at < {_CUT}) where rn = 1)"
+_SIGNED = f"""us as (select id as source_id, md5(regexp_replace(text, '\\s+', '', 'g')) as said from {_LAST['source_unit']}), met as (select o.id as old_id, n.id as new_id, o.sources as a, n.sources as b from {_signed(_EARLY)} o join {_signed(f"(select * from {_LAST['evidence']} where deleted_at is null)")} n using (anchor, s))"""
+
+
+def _editions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e, units = table(spark, sf_dir, "evidence"), durable(_latest(spark, sf_dir, "source_unit").select("id", "text"))
+    old = latest(e.where(F.col("ingested_at") < F.lit("2024-07-01T00:00:00Z").cast("timestamp")))
+    return align_editions(durable(signatures(old, units)), durable(signatures(latest(e).where("deleted_at is null"), units)))
+
+
+@_query("j11_editions", f"with {_SIGNED} select old_id, new_id from met")
+def j11_editions(spark, sf_dir):
+    """Evidence delivered before July 2024 and the present evidence that stands in the same place and says the same, member by member."""
+    return _editions(spark, sf_dir)[0]
+
+
+@_query("i4_kept_sources", f"with {_SIGNED}, p as (select distinct x as old_id, y as new_id from (select unnest(a) as x, unnest(b) as y from met) where x is not null and y is not null) select old_id, new_id from p where old_id in (select old_id from p group by old_id having count(*) = 1) and new_id in (select new_id from p group by new_id having count(*) = 1)")
+def i4(spark, sf_dir):
+    """Units of the earlier evidence and those of the present one that take their place, one to one."""
+    return _editions(spark, sf_dir)[1]

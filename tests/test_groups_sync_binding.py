@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from strataloom.operators.binding import resolved_labels
 from strataloom.operators import snapshot
+from strataloom.operators.editions import align_editions, signatures
 from strataloom.operators.evidence_groups import clause_slices, closed_selection, members_in_order, native_scopes, text_groups
 from strataloom.operators.sync import identities, rewritten, sync_actions
 
@@ -108,3 +109,26 @@ def test_snapshots_appear_at_once(spark, tmp_path):
     assert snapshot.current(spark, root) == one and snapshot.read(spark, root, "t").count() == 3 and len(list((tmp_path / "s" / "data").iterdir())) == 1
     two = snapshot.publish({"t": spark.range(5)}, root)
     assert snapshot.current(spark, root) == two and snapshot.read(spark, root, "t").count() == 5
+
+
+MEMBERS = "array<struct<source_id: string, ord: int, role: string>>"
+
+
+def align(spark, old, new):
+    def signed(rows):
+        evidence = spark.createDataFrame([(key, "text", (section, None), [(f"{key}-{i}", i, "content") for i in range(len(texts))] + [(f"{key}-h", 9, "section")]) for key, section, texts in rows], f"id string, kind string, context struct<section: string, table_id: string>, members {MEMBERS}")
+        units = spark.createDataFrame([(f"{key}-{i}", t) for key, _, texts in rows for i, t in enumerate(texts) if t != "gone"], "id string, text string")
+        return signatures(evidence, units)
+
+    return tuple({tuple(r) for r in part.collect()} for part in align_editions(signed(old), signed(new)))
+
+
+def test_editions(spark):
+    old = [("a", "2.1", ["甲应接地。", "乙。"]), ("b", "2.2", ["丙应清洁。"])]
+    assert align(spark, old, [("x", "2.1", ["甲应 接地。", "乙。"]), ("y", "2.2", ["丙应清洁。"])]) == ({("a", "x"), ("b", "y")}, {("a-0", "x-0"), ("a-1", "x-1"), ("b-0", "y-0")})
+    assert align(spark, old, [("x", "2.1", ["甲应接地。", "乙。"]), ("y", "2.2", ["丙应干燥。"])])[0] == {("a", "x")}
+    # Repeated clauses without a place of their own, another division into members, and a missing unit align with none.
+    assert align(spark, [("a", "2.1", ["甲。"]), ("b", "2.1", ["甲。"])], [("x", "2.1", ["甲。"])])[0] == set()
+    assert align(spark, [("a", "2.1", ["甲应接地。", "乙。"])], [("x", "2.1", ["甲应接地。乙。"])]) == (set(), set())
+    assert align(spark, [("a", "2.1", ["甲。", "gone"])], [("x", "2.1", ["甲。", "gone"])])[0] == set()
+    assert align(spark, [("r1", "T1", ["1", "2"]), ("r2", "T1", ["3", "4"])], [("s1", "T1", ["1", "2"]), ("s2", "T1", ["3", "5"])])[0] == {("r1", "s1")}
