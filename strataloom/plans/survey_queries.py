@@ -21,6 +21,7 @@ from strataloom.operators.records import latest
 from strataloom.operators.references import numbered, references, resolve_references
 from strataloom.operators.retrieval import page, query_tokens, search
 from strataloom.operators.skew import salted_join
+from strataloom.operators.spans import spans_of
 from strataloom.operators.sync import sync_actions
 from strataloom.operators.units import read_texts, style_weights
 from strataloom.plans.knowledge_queries import _ENT, _LAST, _MEM, _SUP, _entities, _members, _supports
@@ -612,3 +613,89 @@ def j11_editions(spark, sf_dir):
 def i4(spark, sf_dir):
     """Units of the earlier evidence and those of the present one that take their place, one to one."""
     return _editions(spark, sf_dir)[1]
+
+
+@_query("s3_table_scan", f"""select e.context.table_id as table_id, m.source_id, u.kind, row_number() over (partition by e.context.table_id order by m.ord, m.evidence_id, m.source_id) as place from (select distinct evidence_id, source_id, min(ord) over (partition by evidence_id, source_id) as ord from {_MEM} where source_id is not null) m join {_LAST['evidence']} e on e.id = m.evidence_id join {_LAST['source_unit']} u on u.id = m.source_id where e.context.table_id is not null""")
+def s3(spark, sf_dir):
+    """Units of every table that evidence names, in the order of its members."""
+    e = _latest(spark, sf_dir, "evidence").select(F.col("id").alias("evidence_id"), F.col("context.table_id").alias("table_id")).where("table_id is not null")
+    u = _latest(spark, sf_dir, "source_unit").select(F.col("id").alias("source_id"), "kind")
+    m = _members(spark, sf_dir).where("source_id is not null").groupBy("evidence_id", "source_id").agg(F.min("ord").alias("ord")).join(e, "evidence_id").join(u, "source_id")
+    order = Window.partitionBy("table_id").orderBy("ord", "evidence_id", "source_id")
+    return m.select("table_id", "source_id", "kind", F.row_number().over(order).alias("place"))
+
+
+_TYPES = ("fact", "anomaly", "parameter", "inspection", "measure", "requirement", "procedure")
+
+
+@_query("f11_rejects", f"""with s as {_LAST['statements']} select id, 'no text' as reason from s where coalesce(trim(text), '') = '' union all select id, 'unknown type' from s where type is null or type not in {_TYPES} union all select id, 'no support' from s where supports is null or len(supports) = 0
+union all select id, 'support without evidence' from s where len(list_filter(supports, lambda x: x.evidence_id is null)) > 0 union all select id, 'no anchor' from s where source_anchors is null or len(source_anchors) = 0 union all select id, 'entity without class' from s where len(list_filter(entities, lambda x: x.ontology_class_id is null)) > 0""")
+def f11(spark, sf_dir):
+    """Statements that break their contract, one row per reason."""
+    s = _latest(spark, sf_dir, "statements")
+    empty = lambda c: F.col(c).isNull() | (F.size(c) == 0)
+    reasons = F.array(
+        F.when(F.coalesce(F.trim("text"), F.lit("")) == "", "no text"), F.when(~F.coalesce(F.col("type").isin(*_TYPES), F.lit(False)), "unknown type"), F.when(empty("supports"), "no support"),
+        F.when(F.exists("supports", lambda x: x["evidence_id"].isNull()), "support without evidence"), F.when(empty("source_anchors"), "no anchor"), F.when(F.exists("entities", lambda x: x["ontology_class_id"].isNull()), "entity without class"),
+    )
+    return s.select("id", F.explode(F.array_compact(reasons)).alias("reason"))
+
+
+@_query("j8_undirected_links", f"with {_LINKS} select node, count(distinct other) as neighbours from (select child as node, parent as other from k union all select parent, child from k) where node <> other group by node")
+def j8(spark, sf_dir):
+    """Classes linked with a class on either end of a link."""
+    _, links = class_links(table(spark, sf_dir, "domain_classes"), table(spark, sf_dir, "business_classes"))
+    both = links.select(F.col("child").alias("node"), F.col("parent").alias("other")).union(links.select("parent", "child")).where("node <> other")
+    return both.distinct().groupBy("node").agg(F.count("*").alias("neighbours"))
+
+
+_RANK = "case when role = 'subject' then 2 when role = 'object' then 1 else 0 end"
+
+
+@_query("a2_statement_owners", f"select id, max({_RANK}) as path_rank, max(case when class_id is not null then 1 else 0 end) as owned, array_to_string(list_sort(list_distinct(list(class_id) filter (where class_id is not null))), ',') as owners from {_ENT} group by id")
+def a2(spark, sf_dir):
+    """Best role, whether any class owns it, and the distinct owners of every statement with entities."""
+    rank = F.when(F.col("role") == "subject", 2).when(F.col("role") == "object", 1).otherwise(0)
+    per = _entities(spark, sf_dir).groupBy("id").agg(F.max(rank).alias("path_rank"), F.max(F.col("class_id").isNotNull().cast("int")).alias("owned"), F.array_sort(F.collect_set("class_id")).alias("o"))
+    return per.select("id", "path_rank", "owned", F.when(F.col("owned") == 1, F.array_join("o", ",")).alias("owners"))
+
+
+@_query("g7_included_classes", f"with {_CLOSURE}, e as (select distinct id, class_id from {_ENT} where class_id is not null) select id, count(*) as classes from (select id, class_id from e union select e.id, r.anc from e join reach r on r.node = e.class_id) group by id")
+def g7(spark, sf_dir):
+    """Number of classes that a statement brings in: its own and all above them."""
+    e = durable(_entities(spark, sf_dir).where("class_id is not null").select("id", "class_id").distinct())
+    above = salted_join(e, _closure(spark, sf_dir).select(F.col("node").alias("class_id"), "anc"), ["class_id"], F.col("id")).select("id", F.col("anc").alias("class_id"))
+    return e.union(above).distinct().groupBy("id").agg(F.count("*").alias("classes"))
+
+
+@_query("g10_bound_entities", f"""with s as (select distinct id, evidence_id, unnest(member_keys) as member_key from {_SUP} where evidence_id is not null), t as (select s.id, u.text from s join {_MEM} m on m.evidence_id = s.evidence_id and m.member_key = s.member_key join {_LAST['source_unit']} u on u.id = m.source_id where u.text is not null),
+e as (select distinct id, label from {_ENT} where label is not null and label <> '') select e.id, e.label, bool_or(coalesce(contains(t.text, e.label), false)) as bound from e left join t using (id) group by e.id, e.label""")
+def g10(spark, sf_dir):
+    """Entities whose label stands letter for letter in a member that supports their statement."""
+    chosen = _supports(spark, sf_dir).where("evidence_id is not null").select("id", "evidence_id", F.explode("member_keys").alias("member_key")).distinct()
+    texts = salted_join(chosen, _member_texts(spark, sf_dir).select("evidence_id", "member_key", "text"), ["evidence_id", "member_key"], F.col("id")).where("text is not null").select("id", "text")
+    e = _entities(spark, sf_dir).where("label is not null and label <> ''").select("id", "label").distinct()
+    return e.join(texts, "id", "left").groupBy("id", "label").agg(F.max(F.coalesce(F.col("text").contains(F.col("label")), F.lit(False))).alias("bound"))
+
+
+@_query("r5_anchor_terms", f"with {_SAID} select a.id, a.label from h a where not exists (select 1 from h b where b.id = a.id and b.label <> a.label and contains(b.label, a.label))")
+def r5(spark, sf_dir):
+    """Labels that an evidence names and that no longer label in it contains."""
+    own = durable(_mentions(spark, sf_dir))
+    longer = own.join(own.withColumnRenamed("label", "other"), "id").where((F.col("label") != F.col("other")) & F.col("other").contains(F.col("label"))).select("id", "label").distinct()
+    return own.join(longer, ["id", "label"], "left_anti")
+
+
+@_query("h16_page_ranges", f"select evidence_id, min(page) as first, max(page) as last from (select evidence_id, page, page - row_number() over (partition by evidence_id order by page) as island from (select distinct evidence_id, page from {_MEM} where page is not null)) group by evidence_id, island")
+def h16(spark, sf_dir):
+    """Ranges of pages that the members of every evidence stand on."""
+    return spans_of(_members(spark, sf_dir), "evidence_id", "page")
+
+
+@_query("v13_gap_groups")
+def v13(spark, sf_dir):
+    """Open references of every document by what is wanted and why it is open."""
+    e = _latest(spark, sf_dir, "evidence")
+    told = resolve_references(references(e), numbered(_latest(spark, sf_dir, "source_unit"))).where("status <> 'resolved'")
+    why = F.when(F.col("status") == "external_document", "another document").when(F.col("status").like("ambiguous%"), "not unique").otherwise("not there")
+    return told.join(e.select("id", "document_id"), "id").groupBy("document_id", "kind", why.alias("why")).agg(F.count_distinct("number", F.coalesce("end_number", F.lit(""))).alias("numbers"), F.count_distinct("id").alias("evidence"))
