@@ -2,54 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many names (and characters) are matched by one automaton in every task; more go through keyed joins.
-MAX_NAMES, MAX_CHARACTERS = 200_000, 8_000_000
+from strataloom.operators.skew import salted_join
+
+
+def _starts(text: str, width: int):
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (width - 1)), lambda i: F.substring(F.col(text), i, F.lit(width))))
 
 
 def contained_names(texts: DataFrame, names: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """``key, name`` of every distinct name that occurs in a text; null and empty names and null texts give nothing.
 
-    A vocabulary of proven size is sent to the tasks and matched in one pass over each text. A larger one is joined on
-    its first three characters with the positions of the texts, and confirmed.
+    Places of texts and names meet on up to three first characters and are confirmed; a beginning that many texts hold
+    is spread over tasks. Nothing is collected, whatever the number of names.
     """
     names = names.select(name).where(F.length(name) > 0).distinct()
-    count, length = names.agg(F.count("*"), F.coalesce(F.sum(F.length(name)), F.lit(0))).first()
     texts = texts.select(key, text).where(F.col(text).isNotNull())
-    if count <= MAX_NAMES and length <= MAX_CHARACTERS:
-        words = [r[0] for r in names.toLocalIterator()]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for word in words:
-                automaton.add_word(word, word)
-            automaton.make_automaton()
-            for batch in batches:
-                rows = [(k, w) for k, t in zip(batch[key], batch[text], strict=True) for w in sorted({w for _, w in automaton.iter(t)})] if words else []
-                yield pd.DataFrame(rows, columns=[key, name])
-
-        kind = texts.schema[key].dataType.simpleString()
-        return texts.mapInPandas(run, f"{key} {kind}, {name} string")
-    return joined_names(texts, names, key, text, name)
-
-
-def _starts(text: str, width: int):
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (width - 1)), lambda i: F.substring(F.col(text), i, F.lit(width))))
-
-
-def joined_names(texts: DataFrame, names: DataFrame, key: str, text: str, name: str) -> DataFrame:
-    """The way without a size limit: places of texts and names meet on up to three first characters."""
     found = None
     for width in (1, 2, 3):
         part = names.where(F.length(name) == width if width < 3 else F.length(name) >= 3).withColumn("_k", F.substring(name, 1, width))
         places = texts.where(F.length(text) >= width).select(key, text, F.explode(_starts(text, width)).alias("_k"))
-        hit = places.join(part, "_k").where(F.col(text).contains(F.col(name))).select(key, name)
+        # Places that no name begins at are left out before the text travels with them.
+        near = places.join(part.select("_k").distinct(), "_k", "left_semi")
+        hit = salted_join(near, part, ["_k"], F.col(key)).where(F.col(text).contains(F.col(name))).select(key, name)
         found = hit if found is None else found.union(hit)
     return found.distinct()
