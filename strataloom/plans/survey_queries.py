@@ -699,3 +699,25 @@ def v13(spark, sf_dir):
     told = resolve_references(references(e), numbered(_latest(spark, sf_dir, "source_unit"))).where("status <> 'resolved'")
     why = F.when(F.col("status") == "external_document", "another document").when(F.col("status").like("ambiguous%"), "not unique").otherwise("not there")
     return told.join(e.select("id", "document_id"), "id").groupBy("document_id", "kind", why.alias("why")).agg(F.count_distinct("number", F.coalesce("end_number", F.lit(""))).alias("numbers"), F.count_distinct("id").alias("evidence"))
+
+
+@_query("h27_supported_references")
+def h27(spark, sf_dir):
+    """References that stand in the members a statement rests on; each unit is read once, however many statements cite it."""
+    u = _latest(spark, sf_dir, "source_unit").select("id", "document_id", F.struct("section", F.col("locator.physical_page").alias("primary_page")).alias("context"), "text")
+    said = durable(references(u).select(F.col("id").alias("source_id"), "kind", "number", "end_number").distinct())
+    held = _members(spark, sf_dir).where("source_id is not null").select("evidence_id", "member_key", "source_id").join(said.select("source_id").distinct(), "source_id", "left_semi")
+    chosen = _supports(spark, sf_dir).where("evidence_id is not null").select("id", "evidence_id", F.explode("member_keys").alias("member_key")).distinct()
+    cited = salted_join(chosen, held, ["evidence_id", "member_key"], F.col("id")).select("id", "source_id").distinct()
+    return salted_join(cited, said, ["source_id"], F.col("id")).select("id", "kind", "number", "end_number").distinct()
+
+
+@_query("h17_changed_references")
+def h17(spark, sf_dir):
+    """References that evidence delivered before July 2024 gained or lost up to its last delivery, or with a later record."""
+    e = table(spark, sf_dir, "evidence")
+    early = latest(e.where(F.col("ingested_at") < F.lit("2024-07-01T00:00:00Z").cast("timestamp")))
+    read = lambda df: references(df).select("id", "kind", "number", F.coalesce("end_number", F.lit("")).alias("end_number")).distinct()
+    old, new = durable(read(early)), durable(read(latest(e).where("deleted_at is null")))
+    keys = ["id", "kind", "number", "end_number"]
+    return new.join(old, keys, "left_anti").withColumn("change", F.lit("gained")).union(old.join(new, keys, "left_anti").withColumn("change", F.lit("lost")))

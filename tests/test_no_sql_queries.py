@@ -6,6 +6,7 @@ import pytest
 
 from strataloom.plans import survey_queries
 
+LATER = datetime.datetime(2025, 1, 1, tzinfo=datetime.timezone.utc)
 AT = datetime.datetime(2024, 3, 1, tzinfo=datetime.timezone.utc)
 LOCATOR = "physical_page int, logical_page string, bbox array<double>, char_range array<int>, original_hash string"
 UNIT = f"id string, document_id string, revision_id string, kind string, text string, locator struct<{LOCATOR}>, text_origin string, ord int, section string, quality string, attributes string, created_at timestamp, ingested_at timestamp, deleted_at timestamp"
@@ -22,8 +23,8 @@ def evidence(key, text, members, page=1, doc="d"):
     return key, doc, "r", "text", [(f"{key}-{i}", s, i, "content", (page, None), None) for i, s in enumerate(members)], (page, None, "1"), text, None, AT, AT, None
 
 
-def statement(key, text, cites):
-    return key, "d", "fact", text, [], [(c, []) for c in cites], [], None, AT, AT
+def statement(key, text, cites, members=()):
+    return key, "d", "fact", text, [], [(c, list(members)) for c in cites], [], None, AT, AT
 
 
 @pytest.fixture(scope="module")
@@ -67,6 +68,16 @@ def test_references(spark, tables):
     assert rows(spark, tables, "v13_gap_groups") == {("d", "clause", "not there", "1", "1"), ("d", "clause", "another document", "1", "1")}
 
 
+def test_supported_and_changed_references(spark, tmp_path):
+    lost = evidence("e6", "按2.1.3条执行。", [])
+    found = [evidence("e5", None, ["r1", "u1"]), lost, (*lost[:6], "按2.1.4条执行。", *lost[7:9], LATER, None), (*evidence("e7", "按2.1.5条执行。", [])[:9], LATER, None)]
+    said = [statement("s5", None, ["e5"], ["e5-0", "e5-0", "none"]), statement("s6", None, ["e5"], ["e5-1"])]
+    for name, made, schema in (("source_unit", [unit("r1", "应符合2.1.2的规定，见表1。"), unit("u1", "2.1.1 阀门。"), unit("n", None)], UNIT), ("evidence", found, EVIDENCE), ("statements", said, STATEMENT)):
+        spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert rows(spark, str(tmp_path), "h27_supported_references") == {("s5", "clause", "2.1.2", "None"), ("s5", "table", "1", "None")}
+    assert rows(spark, str(tmp_path), "h17_changed_references") == {("e6", "clause", "2.1.4", "", "gained"), ("e6", "clause", "2.1.3", "", "lost"), ("e7", "clause", "2.1.5", "", "gained")}
+
+
 def test_groups_and_places(spark, tables):
     assert rows(spark, tables, "w4_clause_slices") == {("u1", "2.1.1", "0", "12"), ("u3", "2.1.2", "0", "12"), ("u4", "2.1.3", "0", "13"), ("u4", "2.1.4", "13", "24"), ("u7", "2.1.1", "0", "11")}
     groups = rows(spark, tables, "w5_text_groups")
@@ -81,5 +92,5 @@ def test_groups_and_places(spark, tables):
 def test_empty_tables(spark, tables, tmp_path):
     for name in ("source_unit", "evidence", "statements", "documents"):
         spark.read.parquet(f"{tables}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
-    for name in ("w5_text_groups", "w4_clause_slices", "x7_quantities", "x10_in_evidence", "f4_missing_parameters", "h1_missing_references", "g12_followed_references", "v13_gap_groups", "r9_made_evidence", "x19_bound_members", "r13_clause_limits", "r13_checked_facts", "s9_text_units"):
+    for name in ("w5_text_groups", "w4_clause_slices", "x7_quantities", "x10_in_evidence", "f4_missing_parameters", "h1_missing_references", "h27_supported_references", "h17_changed_references", "g12_followed_references", "v13_gap_groups", "r9_made_evidence", "x19_bound_members", "r13_clause_limits", "r13_checked_facts", "s9_text_units"):
         assert survey_queries.QUERIES[name](spark, str(tmp_path)).count() == 0
