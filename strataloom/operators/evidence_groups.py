@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.operators.ordered import last_before, running_sum
+from strataloom.session import discard, durable
 
 _CLAUSE_START = re.compile(r"^[ \t　]*(\d+(?:[.．]\d+){2,})(?=\s|[一-鿿]|$)", re.M)
 _SLICE = "id string, slice int, number string, start int, end int, part string"
@@ -72,38 +73,60 @@ def marker_depth(text: Column) -> Column:
     return F.when(text.rlike(WRAPPED), 3).when(text.rlike(BRACKETED), 2).when(text.rlike(PLAIN), 1)
 
 
+def text_marks(text: Column) -> Column:
+    """What the order of members needs of a text: depth of its list marker, whether it is filled, ends hard and leads in."""
+    return F.struct(marker_depth(text).alias("depth"), (F.length(F.trim(text)) > 0).alias("filled"), text.rlike(HARD_END).alias("hard"), text.rlike(LEAD_IN).alias("leads"))
+
+
 def members_in_order(members: DataFrame) -> DataFrame:
     """``members`` (``evidence_id, member_key, ord, role, text``) with ``depth``, ``run`` and ``parent_key``.
 
-    A run holds the pieces of one phrase: a piece goes on with the one before if both are body text (not of role
-    section), that one has no hard end and this one no list marker. The parent of an item is the last member before it
-    with a marker of less depth, or with a lead-in and no marker. The members of one evidence are one window.
+    ``marks`` (``text_marks`` of the text) may stand in place of ``text``, so that no text need be moved. A run holds the
+    pieces of one phrase: a piece goes on with the one before if both are body text (not of role section), that one has
+    no hard end and this one no list marker. The parent of an item is the last member before it with a marker of less
+    depth, or with a lead-in and no marker. The members of one evidence are one window; null places and keys stand last.
     """
-    w = Window.partitionBy("evidence_id").orderBy("ord", "member_key")
-    rows = members.withColumn("depth", marker_depth(F.col("text")))
-    body = F.coalesce((F.col("role") != "section") & (F.length(F.trim("text")) > 0), F.lit(False))
-    goes_on = F.coalesce(body & F.lag(body).over(w) & ~F.lag(F.col("text").rlike(HARD_END)).over(w) & F.col("depth").isNull(), F.lit(False))
+    w = Window.partitionBy("evidence_id").orderBy(F.col("ord").asc_nulls_last(), F.col("member_key").asc_nulls_last())
+    rows = members if "marks" in members.columns else members.withColumn("marks", text_marks(F.col("text")))
+    rows = rows.withColumn("depth", F.col("marks.depth"))
+    body = F.coalesce((F.col("role") != "section") & F.col("marks.filled"), F.lit(False))
+    goes_on = F.coalesce(body & F.lag(body).over(w) & ~F.lag("marks.hard").over(w) & F.col("depth").isNull(), F.lit(False))
     rows = rows.withColumn("run", F.sum((~goes_on).cast("int")).over(w))
     ahead = w.rowsBetween(Window.unboundedPreceding, -1)
-    lead = F.col("depth").isNull() & F.coalesce(F.col("text").rlike(LEAD_IN), F.lit(False))
+    lead = F.col("depth").isNull() & F.coalesce(F.col("marks.leads"), F.lit(False))
     parent = lambda d: F.last(F.when(F.coalesce(F.col("depth") < d, F.lit(False)) | lead, F.col("member_key")), ignorenulls=True).over(ahead)
-    return rows.withColumn("parent_key", F.when(F.col("depth") == 1, parent(1)).when(F.col("depth") == 2, parent(2)).when(F.col("depth") == 3, parent(3)))
+    return rows.withColumn("parent_key", F.when(F.col("depth") == 1, parent(1)).when(F.col("depth") == 2, parent(2)).when(F.col("depth") == 3, parent(3))).drop("marks")
 
 
-def closed_selection(selected: DataFrame, members: DataFrame, rounds: int = 4) -> DataFrame:
+def closed_selection(selected: DataFrame, members: DataFrame) -> DataFrame:
     """``sel_id, evidence_id, member_key`` of selections completed by the rest of their phrases and the lead-ins above them.
 
-    ``selected`` has ``sel_id, evidence_id, member_key``. A round adds the run of every member and the parents of the
-    items in it; there are at most three depths and a lead-in above, so ``rounds`` of 4 reach the end.
+    ``selected`` has ``sel_id, evidence_id, member_key``, ``members`` is as for ``members_in_order``. A lead-in may end a
+    run that begins with an item, so the runs above one have any number. Pairs of members are never listed: runs lead to
+    the runs of their parents, and how far a run leads is found once for all selections, in steps of 1, 2, 4, ... links
+    until nothing new comes.
     """
-    rows = members_in_order(members)
-    runs = rows.select("evidence_id", "run", F.col("member_key").alias("other"))
-    parents = rows.where("parent_key is not null").select("evidence_id", "run", F.col("parent_key").alias("other"))
-    links = rows.select("evidence_id", "run", "member_key").join(runs.union(parents), ["evidence_id", "run"]).select("evidence_id", "member_key", "other").distinct()
-    out = selected.join(rows.select("evidence_id", "member_key"), ["evidence_id", "member_key"], "left_semi").select("sel_id", "evidence_id", "member_key").distinct()
-    for _ in range(rounds):
-        out = out.union(out.join(links, ["evidence_id", "member_key"]).select("sel_id", "evidence_id", F.col("other").alias("member_key"))).distinct()
-    return out
+    rows = durable(members_in_order(members).select("evidence_id", "run", "member_key", "parent_key").distinct())
+    keys = rows.where("member_key is not null").select("evidence_id", "member_key", "run").distinct()
+    above = rows.where("parent_key is not null").select("evidence_id", F.col("parent_key").alias("member_key"), F.col("run").alias("a"))
+    # A key that stands in several runs leads from each to all of them, by way of the first.
+    first = keys.groupBy("evidence_id", "member_key").agg(F.min("run").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = keys.join(first, ["evidence_id", "member_key"]).select("evidence_id", F.col("run").alias("a"), "b").where("a <> b")
+    up = above.join(keys, ["evidence_id", "member_key"]).select("evidence_id", "a", F.col("run").alias("b"))
+    hop = durable(up.union(again).union(again.select("evidence_id", "b", "a")).distinct())
+    chosen = durable(selected.join(keys, ["evidence_id", "member_key"]).select("sel_id", "evidence_id", "run").distinct())
+    reach = durable(chosen.select("evidence_id", "run", F.col("run").alias("a")).distinct())
+    seen, now = 0, reach.count()
+    while seen < now:
+        wider = durable(reach.union(reach.join(hop, ["evidence_id", "a"]).select("evidence_id", "run", "b")).distinct())
+        further = durable(hop.join(hop.select("evidence_id", F.col("a").alias("b"), F.col("b").alias("c")), ["evidence_id", "b"]).select("evidence_id", "a", F.col("c").alias("b")).distinct())
+        discard(reach, hop)
+        reach, hop, seen, now = wider, further, now, wider.count()
+    runs = chosen.join(reach, ["evidence_id", "run"]).select("sel_id", "evidence_id", F.col("a").alias("run")).distinct()
+    done = runs.join(rows.select("evidence_id", "run", "member_key"), ["evidence_id", "run"]).select("sel_id", "evidence_id", "member_key")
+    # A null key that is selected is one member where the evidence has such a member; it leads nowhere.
+    bare = selected.where("member_key is null").join(rows.where("member_key is null").select("evidence_id"), "evidence_id", "left_semi").select("sel_id", "evidence_id", "member_key")
+    return done.union(bare).distinct()
 
 
 # Fixed value: a clause that says what its chapter, section, document or standard applies to.

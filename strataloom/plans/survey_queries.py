@@ -11,7 +11,7 @@ from strataloom.operators.assembly import joined
 from strataloom.operators.binding import resolved_labels
 from strataloom.operators.clause_limits import bound_members, checked_facts, content_runs, evidence_limits
 from strataloom.operators.editions import align_editions, signatures
-from strataloom.operators.evidence_groups import BRACKETED, HARD_END, LEAD_IN, PLAIN, WRAPPED, closed_selection, members_in_order, sliced, text_groups
+from strataloom.operators.evidence_groups import BRACKETED, HARD_END, LEAD_IN, PLAIN, WRAPPED, closed_selection, members_in_order, sliced, text_groups, text_marks
 from strataloom.operators.hierarchy import class_links
 from strataloom.operators.layout import boxes, header_rows, lines, row_groups
 from strataloom.operators.limits import limits_and_facts
@@ -71,6 +71,19 @@ def _member_texts(spark, sf_dir) -> DataFrame:
     return salted_join(_members(spark, sf_dir), u, ["source_id"], F.col("member_key"), "left").select("evidence_id", "member_key", "ord", "role", "text")
 
 
+def _marked_members(spark, sf_dir) -> DataFrame:
+    """Members with the marks of their texts: the texts stay where they are read.
+
+    Members and units are both large, so they are sorted and merged: the estimate of the units' size, of compressed
+    columns, would have the driver broadcast them. Hot keys are split by adaptive execution.
+    """
+    m = F.transform("members", lambda m: F.struct(m["member_key"].alias("member_key"), m["source_id"].alias("source_id"), m["ord"].alias("ord"), m["role"].alias("role")))
+    e = latest(table(spark, sf_dir, "evidence").select(F.col("id").alias("evidence_id"), m.alias("m"), "ingested_at", "created_at"), "evidence_id")
+    u = latest(table(spark, sf_dir, "source_unit").select(F.col("id").alias("source_id"), text_marks(F.col("text")).alias("marks"), "ingested_at", "created_at"), "source_id")
+    members = e.select("evidence_id", F.explode("m").alias("m")).select("evidence_id", "m.*")
+    return members.join(u.select("source_id", "marks").hint("merge"), "source_id", "left").select("evidence_id", "member_key", "ord", "role", "marks")
+
+
 def _sql(pattern: str) -> str:
     return pattern.replace("'", "''")
 
@@ -96,8 +109,9 @@ c as (select * from s union select c.id, c.evidence_id, l.other from c join l on
 select c.id, c.evidence_id, count(*) as closed, count(s.member_key) as selected from c left join s on s.id = c.id and s.evidence_id = c.evidence_id and s.member_key = c.member_key group by c.id, c.evidence_id""")
 def w6_closed(spark, sf_dir):
     """Supports completed by the rest of their phrases and the lead-ins above them: members before and after."""
-    chosen = _supports(spark, sf_dir).where("evidence_id is not null").select(F.col("id").alias("sel_id"), "evidence_id", F.explode("member_keys").alias("member_key")).distinct()
-    done = closed_selection(durable(chosen), durable(_member_texts(spark, sf_dir)))
+    s = latest(table(spark, sf_dir, "statements").select("id", "supports", "ingested_at", "created_at")).select(F.col("id").alias("sel_id"), F.explode("supports").alias("s"))
+    chosen = durable(s.where("s.evidence_id is not null").select("sel_id", "s.evidence_id", F.explode("s.member_keys").alias("member_key")).distinct())
+    done = closed_selection(chosen, _marked_members(spark, sf_dir))
     both = done.join(chosen.withColumn("own", F.lit(1)), ["sel_id", "evidence_id", "member_key"], "left")
     return both.groupBy(F.col("sel_id").alias("id"), "evidence_id").agg(F.count("*").alias("closed"), F.count("own").alias("selected"))
 

@@ -63,6 +63,27 @@ def test_selections_are_completed(spark):
     assert closed(spark, [("first", c, None), ("second", c, "")], ["second", "gone"]) == ["second"]
 
 
+def test_lead_ins_are_followed_to_the_first_one(spark):
+    """A lead-in that ends the run of an item has that item's parents above it, any number of times; no round limits it."""
+    chain = [x for i in range(12) for x in ((f"item{i:02}", "content", f"{i + 1} 第项应清洁"), (f"lead{i:02}", "content", "应符合下列规定："))]
+    assert closed(spark, chain, ["lead11"]) == sorted(key for key, _, _ in chain) and closed(spark, chain, ["item01"]) == ["item00", "item01", "lead00", "lead01"]
+
+
+def test_selections_plan_no_round_within_a_round(spark):
+    m = spark.createDataFrame([("e", "a", 0, "content", "1 甲。")], "evidence_id string, member_key string, ord int, role string, text string")
+    s = spark.createDataFrame([("s", "e", "a")], "sel_id string, evidence_id string, member_key string")
+    plan = closed_selection(s, m)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") <= 5
+
+
+def test_odd_member_keys(spark):
+    """A key in two runs leads to both; null places and keys stand last, as in SQL."""
+    m = spark.createDataFrame([("e", "a", 0, "content", "甲。"), ("e", "x", 1, "content", "乙。"), ("e", "a", 2, "content", "丙"), ("e", "b", 3, "content", "丁。"), ("e", None, 4, "content", "戊。"), ("e", "c", None, "content", "己。")], "evidence_id string, member_key string, ord int, role string, text string")
+    s = spark.createDataFrame([("s", "e", "b"), ("n", "e", None), ("n", "f", None)], "sel_id string, evidence_id string, member_key string")
+    assert {tuple(r) for r in closed_selection(s, m).collect()} == {("s", "e", "a"), ("s", "e", "b"), ("n", "e", None)}
+    assert [r["member_key"] for r in members_in_order(m).orderBy("run").collect()] == ["a", "x", "a", "b", None, "c"]
+
+
 def test_list_parents(spark):
     texts = ["应符合下列规定：", "1 甲应清洁：", "1) 乙应干燥；", "(1) 丙；", "2) 丁；", "2 戊。", "己。"]
     df = spark.createDataFrame([("e", f"m{i}", i, "content", t) for i, t in enumerate(texts)], "evidence_id string, member_key string, ord int, role string, text string")
