@@ -99,7 +99,7 @@ o as (select *, sum(fresh) over (partition by evidence_id order by ord, member_k
 @_query("w8_list_parents", f"with {_ORDERED} select evidence_id, member_key, depth, parent_key from o where depth is not null")
 def w8(spark, sf_dir):
     """Depth and governing member of every list item of an evidence."""
-    return members_in_order(_member_texts(spark, sf_dir)).where("depth is not null").select("evidence_id", "member_key", "depth", "parent_key")
+    return members_in_order(_marked_members(spark, sf_dir)).where("depth is not null").select("evidence_id", "member_key", "depth", "parent_key")
 
 
 @_query("w6_closed_supports", f"""with recursive {_ORDERED},

@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from strataloom.functions.quantities import read_quantities, usual
 from strataloom.operators.clause_limits import bound_text, checked_facts, clause_limits, content_runs, evidence_limits
 from strataloom.operators.patches import patched
 from strataloom.operators.skew import salted_join
+from strataloom.plans.survey_queries import QUERIES
 
 
 @pytest.mark.parametrize(
@@ -80,3 +83,17 @@ def test_salted_join_equals_the_plain_one(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert sorted(map(str, salted_join(left, right, ["k"], F.col("v"), how).collect())) == sorted(map(str, left.join(right, "k", how).collect()))
     assert salted_join(left, right, ["k"]).count() == left.join(right, "k").count()
+
+
+def test_list_parents_broadcast_no_units(spark):
+    """The units are neither copied nor broadcast, whatever size their compressed columns suggest."""
+    rows = [(f"u{i}", None if i == 5 else f"{i} 甲应清洁") for i in range(6)]
+    with tempfile.TemporaryDirectory() as d:
+        at = ("timestamp'2024-01-01' as ingested_at", "timestamp'2024-01-01' as created_at", "'d' as document_id")
+        spark.createDataFrame(rows, "id string, text string").selectExpr("*", *at).write.parquet(f"{d}/source_unit.parquet")
+        members = [("e", [(f"m{i}", f"u{i}", i, "content", (1,)) for i in range(7)])]
+        spark.createDataFrame(members, "id string, members array<struct<member_key: string, source_id: string, ord: int, role: string, locator: struct<physical_page: int>>>").selectExpr("*", *at).write.parquet(f"{d}/evidence.parquet")
+        df = QUERIES["w8_list_parents"](spark, d)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "sequence(" not in plan
+        assert sorted(map(tuple, df.collect())) == [("e", f"m{i}", 1, None) for i in range(5)]
