@@ -9,7 +9,8 @@ Rare words: an edit between glyphs that are easily confused must lead to a far m
 the two must point the same way. Ideographs need no table of glyphs: where a far more frequent one stands between the
 same neighbours and the written one is not at home beside either, the vector of all such places must point like the
 frequent one and not like the written one elsewhere. How near is near enough is learned from held-out pairs: frequent
-words and ideographs against a few of their own places, and against those of others.
+words and ideographs against a few of their own places, and against those of others; the held-out places then count
+again in the vectors that decide.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataloom.operators.skew import salted_join
+from strataloom.operators.skew import SALTS, salted_join
 from strataloom.session import durable
 
 # Glyphs that recognition confuses (written form, printed form), and characters that stand for no glyph.
@@ -40,9 +42,9 @@ START, END = "\u0002", "\u0003"
 _DIGIT_LIKE = {"l": "1", "I": "1", "O": "0", "o": "0", "B": "8", "S": "5", "s": "5", "Z": "2", "z": "2", "!": "1", "|": "1", "b": "6", "g": "9", "q": "9", "i": "1"}
 #: A form is rare beside another one if that is so many times as frequent.
 RATIO = 10
-#: One unit in so many is held out to learn how near vectors of one word are; at most so many words (ideographs) teach
-#: it, each with at most so many held-out places; the threshold where none teach it.
-HELD_OUT, MAX_TEACHERS, FEW, COSINE = 32, 4096, 6, 0.05
+#: One unit in so many is held out to learn how near vectors of one word are, from all words (ideographs) with as few
+#: held-out places as a rare one has; the threshold where none teach it. Parts of the ring that pairs words with others.
+HELD_OUT, FEW, COSINE, RING = 32, 6, 0.05, 4096
 _HELD = "\u0001"
 
 _HAN = "一-鿿"
@@ -236,45 +238,57 @@ def _marginals(events: DataFrame) -> DataFrame:
     return per.join(F.broadcast(per.agg(F.sum("nb").alias("total"))))
 
 
-def _similar(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``rare, common, cosine`` of candidate pairs; 0 where the vectors share nothing."""
+def _similar(pairs: DataFrame, vectors: DataFrame, salts: int = SALTS) -> DataFrame:
+    """``rare, common, cosine`` of candidate pairs; 0 where the vectors share nothing. ``salts``: 1 if no common one has many."""
     pairs = pairs.select("rare", "common").distinct()
     left = pairs.join(vectors.select(F.col("a").alias("rare"), "b", F.col("v").alias("x")), "rare")
     right = vectors.join(pairs.select(F.col("common").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("common"), "b", F.col("v").alias("y"))
-    met = salted_join(left, right, ["common", "b"], F.col("rare")).groupBy("rare", "common").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
+    met = salted_join(left, right, ["common", "b"], F.col("rare"), salts=salts).groupBy("rare", "common").agg(F.sum(F.col("x") * F.col("y")).alias("cosine"))
     return pairs.join(met, ["rare", "common"], "left").fillna(0.0, ["cosine"])
 
 
-def best_threshold(same: list[float], other: list[float]) -> float:
-    """The least cosine with the best mean of the shares kept of pairs of one word and rejected of pairs of two."""
+def best_threshold(same: Iterable[float] | dict[float, int], other: Iterable[float] | dict[float, int]) -> float:
+    """The least cosine with the best mean of the shares kept of pairs of one word and rejected of pairs of two.
+
+    Both are cosines or numbers of pairs by cosine.
+    """
+    same, other = Counter(same), Counter(other)
     if not same or not other:
         return COSINE
-    at = sorted({round(x, 3) for x in [*same, *other] if x > 0} | {COSINE})
-    same_, other_ = sorted(same), sorted(other)
-    return max(at, key=lambda t: ((len(same_) - bisect_left(same_, t)) / len(same_) + bisect_left(other_, t) / len(other_), -t))
+    at = sorted({round(x + more, 3) for x in [*same, *other] for more in (0, 0.001) if x > 0} | {COSINE})
+    same_, other_ = ((keys := sorted(of), [0, *accumulate(of[x] for x in keys)]) for of in (same, other))
+    below = lambda of, t: of[1][bisect_left(of[0], t)]
+    return max(at, key=lambda t: ((same_[1][-1] - below(same_, t)) / same_[1][-1] + below(other_, t) / other_[1][-1], -t))
+
+
+def _unheld(rows: DataFrame) -> DataFrame:
+    """``a, b, n`` with the held-out places back among the others: what decides is made from all places."""
+    return rows.groupBy(F.regexp_replace("a", _HELD, "").alias("a"), "b").agg(F.sum("n").alias("n"))
 
 
-def learned_threshold(rows: DataFrame, vectors: DataFrame) -> float:
+def learned_threshold(rows: DataFrame, marginals: DataFrame) -> float:
     """The cosine that tells places of one word from those of two, from its held-out vectors.
 
-    ``rows`` has ``a, n`` of all vectors. A word with at most ``FEW`` held-out places is compared with itself and with
-    another word of its hash bucket; ``MAX_TEACHERS`` buckets bound how many do.
+    ``rows`` has ``a, b, n`` of all vectors. Every word with at most ``FEW`` held-out places is compared with itself and
+    with the next one in a ring of all of them; numbers of pairs by cosine (three digits, downwards) reach the driver.
     """
     held = rows.where(F.col("a").endswith(_HELD)).groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") <= 4 * FEW)
-    held = held.select(F.col("a").alias("rare"), F.regexp_replace("a", _HELD, "").alias("common")).join(rows.select(F.col("a").alias("common")).distinct(), "common", "left_semi")
-    ends = held.groupBy(F.pmod(F.xxhash64("common"), F.lit(MAX_TEACHERS))).agg(F.min(F.struct("common", "rare")).alias("x"), F.max(F.struct("common", "rare")).alias("y"))
-    pairs = durable(ends.select(F.explode(F.array(F.struct("x.rare", "x.common"), F.struct(F.col("x.rare"), F.col("y.common")), F.struct("y.rare", "y.common"))).alias("p")).select("p.*").distinct())
-    # A bucket with one word teaches its own places only; all buckets in one ring teach the others.
-    ring = ends.select(F.col("x.rare").alias("rare"), F.col("y.common").alias("common"), F.pmod(F.xxhash64(F.col("x.common")), F.lit(MAX_TEACHERS)).alias("k"))
-    told = _similar(pairs.union(_neighbours(ring)), vectors).toPandas()
-    own = told["rare"].str.replace(_HELD, "", regex=False) == told["common"]
-    return best_threshold(list(told[own]["cosine"]), list(told[~own]["cosine"]))
+    held = held.select(F.col("a").alias("rare"), F.regexp_replace("a", _HELD, "").alias("common"))
+    held = durable(held.join(rows.select(F.col("a").alias("common")).distinct(), "common", "left_semi").select("rare", "common"))
+    vectors = durable(_vectors(rows.join(held.select(F.explode(F.array("rare", "common")).alias("a")), "a", "left_semi"), marginals))
+    told = _similar(durable(held.union(_neighbours(held))), vectors, 1)
+    own = F.regexp_replace("rare", _HELD, "") == F.col("common")
+    told = told.groupBy(own.alias("own"), (F.floor(F.col("cosine") * 1000) / 1000).alias("cosine")).agg(F.count("*").alias("n")).collect()
+    return best_threshold({r["cosine"]: r["n"] for r in told if r["own"]}, {r["cosine"]: r["n"] for r in told if not r["own"]})
 
 
-def _neighbours(ring: DataFrame) -> DataFrame:
-    """``rare, common``: every bucket's held-out word with the word of the next bucket (at most ``MAX_TEACHERS`` rows)."""
-    order = Window.orderBy("k")
-    return ring.select("rare", F.lead("common").over(order).alias("common")).where("common is not null and common <> rare")
+def _neighbours(held: DataFrame) -> DataFrame:
+    """``rare, common``: every held-out word with the next one in the order of hashes, the last of a part with the first of the next part."""
+    order = F.struct(F.xxhash64("common").alias("h"), "common")
+    rows = held.withColumns({"k": F.pmod(F.xxhash64("common"), F.lit(RING)), "o": order})
+    parts = rows.groupBy("k").agg(F.min("o").alias("first")).select("k", F.lead("first.common").over(Window.orderBy("k")).alias("then"))
+    follows = F.lead("common").over(Window.partitionBy("k").orderBy("o"))
+    return rows.withColumn("next", follows).join(parts, "k").select("rare", F.coalesce("next", "then").alias("common")).where("common is not null")
 
 
 def word_counts(parsed: DataFrame) -> DataFrame:
@@ -304,8 +318,9 @@ def word_links(parsed: DataFrame, words: DataFrame, threshold: float | None = No
     events = events.union(events.select("held", "b", "a", "n"))
     rows = events.join(keys, "a", "left_semi").join(common.select(F.col("common").alias("a"), F.lit(True).alias("often")), "a", "left")
     rows = durable(rows.groupBy(F.when(F.col("held") & F.col("often"), F.concat("a", F.lit(_HELD))).otherwise(F.col("a")).alias("a"), "b").agg(F.sum("n").alias("n")))
-    vectors = durable(_vectors(rows, _marginals(events)))
-    least = learned_threshold(rows, vectors) if threshold is None else threshold
+    marginals = durable(_marginals(events))
+    least = learned_threshold(rows, marginals) if threshold is None else threshold
+    vectors = durable(_vectors(_unheld(rows), marginals))
     alike = pairs.join(_similar(pairs, vectors), ["rare", "common"]).where(F.col("cosine") >= least)
     best = alike.groupBy("rare").agg(F.max(F.struct(-F.col("edits"), "cosine", "common")).alias("b"))
     return best.select("rare", "b.common", "b.cosine")
@@ -336,8 +351,9 @@ def han_links(parsed: DataFrame, threshold: float | None = None) -> DataFrame:
     name = F.when(F.col("m").isNotNull(), F.concat("c", F.lit(">"), "m")).when(F.col("away"), F.concat("c", F.lit("~"))).when(held, F.concat("c", F.lit(_HELD))).otherwise(F.col("c"))
     events = named.select(name.alias("a"), F.explode(F.array(F.concat(F.lit("<"), "l"), F.concat(F.lit(">"), "r"))).alias("b"), "n")
     events = durable(events.groupBy("a", "b").agg(F.sum("n").alias("n")))
-    vectors = durable(_vectors(events, _marginals(events)))
-    least = learned_threshold(events, vectors) if threshold is None else threshold
+    marginals = durable(_marginals(events))
+    least = learned_threshold(events, marginals) if threshold is None else threshold
+    vectors = durable(_vectors(_unheld(events), marginals))
     pair = odd.select("c", "m").distinct().select("c", "m", F.concat("c", F.lit(">"), "m").alias("rare"))
     near = _similar(pair.select("rare", F.col("m").alias("common")).union(pair.select("rare", "c")), vectors)
     told = pair.join(near.withColumnsRenamed({"common": "m", "cosine": "like"}), ["rare", "m"]).join(near.withColumnsRenamed({"common": "c", "cosine": "own"}), ["rare", "c"])

@@ -1,6 +1,10 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
+from strataloom.llm import scanned
 from strataloom.llm.scanned import COSINE, best_threshold, broken, code_misread, corrected_line, defects, glyph_edits, near, page_mark, reflowed, repaired
 
 
@@ -75,5 +79,26 @@ def test_threshold_from_held_out_pairs():
     assert best_threshold([], [0.1]) == COSINE == best_threshold([0.3], [])
 
 
+def test_every_held_out_word_teaches(spark, monkeypatch):
+    """No number of buckets bounds how many words teach the threshold."""
+    told = []
+    monkeypatch.setattr(scanned, "best_threshold", lambda same, other: told.append((Counter(same), Counter(other))) or 0.0)
+    n = 10_000
+    rows = spark.range(n).selectExpr("explode(array(concat('w', id), concat('w', id, '\\u0001'))) as a", "concat('b', id) as b", "1L as n")
+    assert scanned.learned_threshold(rows, rows.groupBy("b").agg(F.sum("n").alias("nb")).withColumn("total", F.lit(2 * n))) == 0.0
+    (same, other), = told
+    assert sum(same.values()) == n and min(same) > 0.99 and sum(other.values()) == n - 1 and set(other) == {0.0}
+    assert best_threshold({0.3: 2, 0.6: 2}, {0.1: 5}) == best_threshold([0.3, 0.3, 0.6, 0.6], [0.1] * 5)
+
+
+def test_held_out_places_count_in_the_vectors_that_decide(spark):
+    ids = spark.range(400).selectExpr("concat('u', id) as id").withColumn("held", F.pmod(F.xxhash64("id"), F.lit(scanned.HELD_OUT)) == 0)
+    held, rest = ([r["id"] for r in ids.where(c).collect()] for c in ("held", "not held"))
+    rows = [(held[0], ["zeta", "head", "omega"]), (rest[0], ["zeta", "hcad", "omega"])] + [(key, [f"x{k}", "head", f"y{k}"]) for k, key in enumerate(rest[1:21])] + [(rest[21], [f"other{k}" for k in range(300)])]
+    parsed = spark.createDataFrame([(key, words, [-1] * len(words)) for key, words in rows], "id string, words array<string>, cut array<int>")
+    got = scanned.word_links(parsed, scanned.word_counts(parsed), COSINE).where("rare = 'hcad'").collect()
+    assert [r["common"] for r in got] == ["head"]
+
+
 def test_two_confusions():
     assert "mill" in {x for w in glyph_edits("rni1l") for x in glyph_edits(w)} and set(glyph_edits("rni1l")) & set(glyph_edits("mill", back=True))
